@@ -29,14 +29,15 @@ _XOR = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def sketches(texts: list[str | None], k: int, roots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: distinct shingles, two hashes of their set, the signature's bytes, and its root nodes.
+def sketches(texts: list[str | None], k: int, roots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: distinct shingles, two hashes of their set, the signature's bytes, a bit of each, and its root nodes.
 
     A root node is one of the first ``roots`` coordinates with its whole value.
     """
     n = len(texts)
     counts, ident = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64)
     sig, nodes = np.zeros((n, COORDINATES), np.uint8), np.zeros((n, roots), np.uint64)
+    bits = np.zeros(n, np.uint64)
     for lo, hi in kernel.blocks(texts):
         for a in range(lo, hi, 65_536):
             b = min(hi, a + 65_536)
@@ -54,27 +55,28 @@ def sketches(texts: list[str | None], k: int, roots: int) -> tuple[np.ndarray, n
             for j in range(COORDINATES):
                 least = np.minimum.reduceat((low ^ _XOR[j]) * _MUL[j], at)
                 sig[who, j] = (least ^ (least >> np.uint32(11)) ^ (least >> np.uint32(22))).astype(np.uint8)
+                bits[who] |= ((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint64) << np.uint64(j)
                 if j < roots:
                     nodes[who, j] = kernel.mix(least.astype(np.uint64) | (np.uint64(j + 1) << np.uint64(32)))
-    return counts, ident, sig, nodes
+    return counts, ident, sig, bits, nodes
 
 
 def sketch(records: DataFrame, k: int, min_shingles: int, roots: int) -> DataFrame:
-    """kind, id, n, h1, h2, sig, nodes of the records with at least ``min_shingles`` different shingles."""
+    """kind, id, n, h1, h2, sig, bits, nodes of the records with at least ``min_shingles`` different shingles."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        counts, ident, sig, nodes = sketches(column(b, "text"), k, roots)
+        counts, ident, sig, bits, nodes = sketches(column(b, "text"), k, roots)
         keep = np.flatnonzero(counts >= max(1, min_shingles))
         take = pa.array(keep)
         flat = nodes[keep].view(np.int64).reshape(-1)
         return pa.RecordBatch.from_arrays(
             [
                 raw(b, "kind").take(take), raw(b, "id").take(take), pa.array(counts[keep].astype(np.int32)), pa.array(ident[keep, 0].view(np.int64)), pa.array(ident[keep, 1].view(np.int64)),
-                pa.array([s.tobytes() for s in sig[keep]], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * roots), pa.array(flat)),
-            ], ["kind", "id", "n", "h1", "h2", "sig", "nodes"],
+                pa.array([s.tobytes() for s in sig[keep]], pa.binary()), pa.array(bits[keep].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * roots), pa.array(flat)),
+            ], ["kind", "id", "n", "h1", "h2", "sig", "bits", "nodes"],
         )
 
-    return map_batches(records, run, "kind string, id bigint, n int, h1 bigint, h2 bigint, sig binary, nodes array<bigint>")
+    return map_batches(records, run, "kind string, id bigint, n int, h1 bigint, h2 bigint, sig binary, bits bigint, nodes array<bigint>")
 
 
 def verified(pairs: DataFrame, records: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -121,30 +123,42 @@ def _children(node: str, branches: int) -> str:
     return "array(" + ", ".join(child.format(n=node, i=i, j=f"pmod({first} + {i} * {step}, {COORDINATES})") for i in range(branches)) + ")"
 
 
-def _pairs_in(list_col: str) -> str:
-    """SQL for the pairs of a sorted list of ids."""
-    return f"flatten(transform({list_col}, (x, i) -> transform(slice({list_col}, i + 2, size({list_col})), y -> struct(x AS a, y AS b))))"
+def _may_match(x: str, y: str, threshold: float, deviations: float = 4.0) -> str:
+    """SQL for whether two records (with n and bits) can be similar.
+
+    A set can't share more than the smaller one holds; and of the signatures' bits, which agree with
+    probability (1 + J) / 2, not too few may agree: ``deviations`` standard deviations below the mean.
+    """
+    p = (1 + threshold) / 2
+    most = int(COORDINATES * (1 - p) + deviations * (COORDINATES * p * (1 - p)) ** 0.5)
+    return f"(least({x}n, {y}n) >= {threshold} * greatest({x}n, {y}n) - 1e-9 AND bit_count({x}bits ^ {y}bits) <= {most})"
+
+
+def _pairs_in(list_col: str, threshold: float) -> str:
+    """SQL for the pairs of a sorted list of records (id, n, bits) that may be similar."""
+    later = f"filter(slice({list_col}, i + 2, size({list_col})), y -> {_may_match('x.', 'y.', threshold)})"
+    return f"flatten(transform({list_col}, (x, i) -> transform({later}, y -> struct(x.id AS a, y.id AS b))))"
 
 
-def candidates(reps: DataFrame, trees: int, branches: int, leaf: int, stall: float, depth: int) -> DataFrame:
+def candidates(reps: DataFrame, threshold: float, branches: int, leaf: int, stall: float, depth: int) -> DataFrame:
     """kind, a, b (a < b): the pairs of class representatives that meet in a node compared exhaustively."""
-    level = reps.select("kind", "id", F.explode("nodes").alias("node"), F.lit(None).cast("bigint").alias("above"))
+    level = reps.select("kind", "id", "n", "bits", F.explode("nodes").alias("node"), F.lit(None).cast("bigint").alias("above"))
     found: list[DataFrame] = []
     for at in range(depth + 1):
         size = level.groupBy("kind", "node").agg(F.count("*").alias("m"), F.min("above").alias("above")).where("m > 1")
         done = F.col("m") <= leaf
         stuck = ~done & (F.lit(at == depth) | F.coalesce(F.col("m") >= stall * F.col("above"), F.lit(False)))
         kept = level.drop("above").join(size, ["kind", "node"])
-        small = kept.where(done).groupBy("kind", "node").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-        found.append(small.select("kind", F.expr(f"inline({_pairs_in('ids')})")).distinct())
+        small = kept.where(done).groupBy("kind", "node").agg(F.sort_array(F.collect_set(F.struct("id", "n", "bits"))).alias("ids"))
+        found.append(small.select("kind", F.expr(f"inline({_pairs_in('ids', threshold)})")).distinct())
         large = cut_lineage(kept.where(~done).withColumn("stuck", stuck))
         state = {r.stuck: r.n for r in large.groupBy("stuck").agg(F.count("*").alias("n")).collect()}
         if state.get(True):
-            s = large.where("stuck").select("kind", "node", "id")
-            found.append(s.withColumnRenamed("id", "a").join(s.withColumnRenamed("id", "b"), ["kind", "node"]).where("a < b").select("kind", "a", "b").distinct())
+            x, y = (large.where("stuck").select("kind", "node", F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
+            found.append(x.join(y, ["kind", "node"]).where(f"a < b AND {_may_match('a_', 'b_', threshold)}").select("kind", "a", "b").distinct())
         if not state.get(False):
             break
-        level = large.where("not stuck").join(reps.select("kind", "id", "sig"), ["kind", "id"]).select("kind", "id", F.expr(f"explode({_children('node', branches)})").alias("node"), F.col("m").alias("above"))
+        level = large.where("not stuck").join(reps.select("kind", "id", "sig"), ["kind", "id"]).select("kind", "id", "n", "bits", F.expr(f"explode({_children('node', branches)})").alias("node"), F.col("m").alias("above"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -154,14 +168,11 @@ def candidates(reps: DataFrame, trees: int, branches: int, leaf: int, stall: flo
 def estimated(pairs: DataFrame, reps: DataFrame, threshold: float, deviations: float = 4.0) -> DataFrame:
     """The pairs whose signatures don't rule them out: agreement at most ``deviations`` standard deviations below the threshold."""
     least = int(np.floor(COORDINATES * threshold - deviations * np.sqrt(COORDINATES * threshold * (1 - threshold))))
-    sig = reps.select("kind", "id", "sig", "n")
-    x, y = (sig.select("kind", F.col("id").alias(c), F.col("sig").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+    x, y = (reps.select("kind", F.col("id").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab")
     # Bytes that agree are the zero bytes of the two signatures' bitwise difference, taken eight at a time.
     words = [f"(cast(conv(hex(substring(sa, {i}, 4)), 16, 10) as bigint) ^ cast(conv(hex(substring(sb, {i}, 4)), 16, 10) as bigint))" for i in range(1, COORDINATES, 4)]
     agree = " + ".join(f"transform(array({w}), d -> if(d & 255 = 0, 1, 0) + if(d & 65280 = 0, 1, 0) + if(d & 16711680 = 0, 1, 0) + if(d & 4278190080 = 0, 1, 0))[0]" for w in words)
-    # A set can't share more than the smaller one holds.
-    could = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
-    return pairs.join(x, ["kind", "a"]).where("true").join(y, ["kind", "b"]).where(could & (F.expr(agree) >= max(0, least))).select("kind", "a", "b")
+    return pairs.join(x, ["kind", "a"]).join(y, ["kind", "b"]).where(F.expr(agree) >= max(0, least)).select("kind", "a", "b")
 
 
 def similarity_join(records: DataFrame, k: int = 5, threshold: float = 0.8, min_shingles: int = 1, trees: int = 6, branches: int = 2, leaf: int = 24, stall: float = 0.75, depth: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -175,8 +186,8 @@ def similarity_join(records: DataFrame, k: int = 5, threshold: float = 0.8, min_
     roots = trees * branches
     made = sketch(rows.where(F.col("text").isNotNull()), k, min_shingles, roots)
     drawn = cut_lineage(made)
-    reps = cut_lineage(drawn.groupBy("kind", "n", "h1", "h2").agg(F.min("id").alias("id"), F.min(F.struct("sig", "nodes")).alias("s")).select("kind", "id", "n", "h1", "h2", "s.sig", "s.nodes"))
-    met = candidates(reps, trees, branches, leaf, stall, depth)
+    reps = cut_lineage(drawn.groupBy("kind", "n", "h1", "h2").agg(F.min("id").alias("id"), F.min(F.struct("sig", "bits", "nodes")).alias("s")).select("kind", "id", "n", "h1", "h2", "s.sig", "s.bits", "s.nodes"))
+    met = candidates(reps, threshold, branches, leaf, stall, depth)
     likely = cut_lineage(estimated(met, reps, threshold))
     links = verified(likely, rows, k, threshold)
     members = drawn.select("kind", "id", "n", "h1", "h2").distinct().join(reps.select("kind", "n", "h1", "h2", F.col("id").alias("rep")), ["kind", "n", "h1", "h2"]).select("kind", "id", "rep")
