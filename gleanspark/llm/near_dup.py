@@ -150,7 +150,8 @@ def candidates(reps: DataFrame, threshold: float, branches: int, leaf: int, stal
         stuck = ~done & (F.lit(at == depth) | F.coalesce(F.col("m") >= stall * F.col("above"), F.lit(False)))
         kept = level.drop("above").join(size, ["kind", "node"])
         small = kept.where(done).groupBy("kind", "node").agg(F.sort_array(F.collect_set(F.struct("id", "n", "bits"))).alias("ids"))
-        found.append(small.select("kind", F.expr(f"inline({_pairs_in('ids', threshold)})")).distinct())
+        # Each level's pairs are written at once, so that no plan spans more than one level.
+        found.append(cut_lineage(small.select("kind", F.expr(f"inline({_pairs_in('ids', threshold)})")).distinct()))
         large = cut_lineage(kept.where(~done).withColumn("stuck", stuck))
         state = {r.stuck: r.n for r in large.groupBy("stuck").agg(F.count("*").alias("n")).collect()}
         if state.get(True):
