@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.sources.tables import read_table
 
-from . import distinctive, lookalike, near_dup, packing, splitting, tokens
+from . import distinctive, generated, lookalike, near_dup, packing, splitting, tokens
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -41,6 +41,14 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_files(read_table(spark, d, "repo_files"), read_table(spark, d, "split_limits"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return generated.not_handwritten(read_table(spark, d, "repo_files"))
+
+
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return generated.kinds(read_table(spark, d, "repo_files"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.leading_terms(read_table(spark, d, "chunks"), read_table(spark, d, "term_probes"))
 
@@ -66,7 +74,7 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (p1_token_totals, p1_file_tokens, p2_found, p2_groups, p3_found, p3_pieces, p5_found, p5_terms, p6_ids, p7_containers, p8_found, p8_canonical)
+    own = (p1_token_totals, p1_file_tokens, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_kinds, p5_found, p5_terms, p6_ids, p7_containers, p8_found, p8_canonical)
     return {f.__name__: f for f in own}
 
 
