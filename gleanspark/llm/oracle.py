@@ -1 +1,39 @@
-SQL = {}
+"""SQL for DuckDB of those queries that SQL can express over whole tables."""
+
+from __future__ import annotations
+
+_BLANK = r"regexp_full_match(line, '[ \t\r]*')"
+
+_BLOCKS = rf"""
+WITH f AS (SELECT file_id, any_value(text) AS text, any_value(lower(regexp_extract(path, '\.([^.]*)$', 1))) AS ext FROM repo_files WHERE text IS NOT NULL AND contains(path, '.') GROUP BY file_id),
+lim AS (SELECT f.file_id, f.text, min(l.max_lines) AS m FROM f JOIN split_limits l ON f.ext = lower(l.ext) GROUP BY ALL),
+big AS (SELECT *, string_split(text, chr(10)) AS l FROM lim WHERE len(string_split(text, chr(10))) > m),
+ln AS (SELECT file_id, m, len(l) AS n, i - 1 AS i, l[i] AS line FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM big)),
+b AS (SELECT *, {_BLANK} AS blank, lag({_BLANK}) OVER (PARTITION BY file_id ORDER BY i) AS before FROM ln),
+st AS (SELECT file_id, m, n, i AS s FROM b WHERE i = 0 OR (NOT blank AND before AND line[1] NOT IN (' ', chr(9)))),
+blk AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY file_id ORDER BY s), n) - s AS size FROM st),
+two AS (SELECT *, lag(size) OVER (PARTITION BY file_id ORDER BY s) AS size0 FROM blk)
+"""
+
+_TERMS = r"""
+WITH c AS (SELECT chunk_key, any_value(coalesce(text, '') || chr(10) || coalesce(array_to_string(list_filter(defines, lambda x: x IS NOT NULL), chr(10)), '')) AS t FROM chunks WHERE chunk_key IS NOT NULL GROUP BY chunk_key),
+w AS (SELECT chunk_key, lower(unnest(regexp_extract_all(regexp_replace(t, '([a-z])([A-Z])', '\1 \2', 'g'), '[A-Za-z]+'))) AS term FROM c),
+tf AS (SELECT chunk_key, term, count(*) AS tf FROM w GROUP BY ALL),
+st AS (SELECT term, count(*) AS n_records, sum(tf)::BIGINT AS f FROM tf GROUP BY ALL),
+len AS (SELECT chunk_key, sum(tf)::BIGINT AS len FROM tf GROUP BY ALL),
+nn AS (SELECT count(*) AS n FROM c), av AS (SELECT sum(len) / (SELECT n FROM nn)::DOUBLE AS a FROM len)
+"""
+
+SQL = {
+    "p2_found": r"""
+WITH r AS (SELECT 'chunk' AS kind, chunk_key AS id, any_value(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY chunk_key
+           UNION ALL SELECT 'file', file_id, any_value(text) FROM repo_files WHERE text IS NOT NULL GROUP BY file_id),
+w AS (SELECT kind, id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM r),
+s AS (SELECT DISTINCT kind, id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM w)),
+n AS (SELECT kind, id, count(*) AS n FROM s GROUP BY ALL HAVING count(*) >= 40),
+e AS (SELECT s.* FROM s SEMI JOIN n USING (kind, id)),
+p AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, count(*) AS c FROM e a JOIN e b ON a.kind = b.kind AND a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT p.kind AS record_kind, id_a, id_b FROM p JOIN n x ON x.kind = p.kind AND x.id = id_a JOIN n y ON y.kind = p.kind AND y.id = id_b WHERE 10 * c >= 6 * (x.n + y.n - c)""",
+    "p3_found": _BLOCKS + "SELECT file_id, s AS cut_line FROM two WHERE size0 <= m AND size <= m AND size0 + size > m",
+    "p5_found": _TERMS + "SELECT chunk_key, arg_max(term, tf * ln((SELECT n FROM nn) / n_records::DOUBLE)) AS term FROM tf JOIN st USING (term) SEMI JOIN term_probes USING (chunk_key) GROUP BY chunk_key",
+}
