@@ -62,7 +62,9 @@ def terms(c: Column) -> Column:
         apart = F.split(F.regexp_replace(t, "([a-z0-9])([A-Z])", "$1 $2"), "[_$ ]+")
         return F.transform(F.filter(apart, lambda z: F.length(z) > 2), F.lower)
 
-    both = F.transform(word, lambda t: F.struct(F.lower(t).alias("w"), parts(t).alias("p")))
+    # Only a word with a capital, an underscore or a dollar sign can have several parts.
+    plain = lambda t: (F.lower(t) == t) & ~F.contains(t, F.lit("_")) & ~F.contains(t, F.lit("$"))
+    both = F.transform(word, lambda t: F.struct(F.lower(t).alias("w"), F.when(plain(t), F.array().cast("array<string>")).otherwise(parts(t)).alias("p")))
     return F.flatten(F.transform(both, lambda s: F.when(F.size(s.p) > 1, F.concat(F.array(s.w), s.p)).otherwise(F.array(s.w))))
 
 

@@ -71,12 +71,14 @@ def minimum_budget(r: Retrieval, depths: DataFrame, step: int = SEARCH_STEP) ->
 def grep_hits(r: Retrieval, variant: str = "all") -> DataFrame:
     """repo_id, question, term_pos, term, path, tokens: files that hold a question's term anywhere, by any case.
 
-    Files meet only the questions of their own repository, by an equi-join; the substring test follows it.
+    A file meets the different terms asked of its repository as one row, so its text is never copied per term;
+    the terms it holds then meet their questions.
     """
     asked = r.question_terms.where(F.length("term") > 3)
     files = r.files if variant == "all" else r.files.where("path NOT LIKE '%.md'")
-    low = files.select("repo_id", "path", "tokens", F.lower("text").alias("low"))
-    return asked.join(low, "repo_id").where(F.contains("low", F.col("term"))).select("repo_id", "question", "term_pos", "term", "path", "tokens")
+    wanted = asked.groupBy("repo_id").agg(F.collect_set("term").alias("terms"))
+    held = files.join(wanted, "repo_id").withColumn("low", F.lower("text")).select("repo_id", "path", "tokens", F.expr("explode(filter(terms, t -> contains(low, t)))").alias("term"))
+    return held.join(asked, ["repo_id", "term"]).select("repo_id", "question", "term_pos", "term", "path", "tokens")
 
 
 def grep_baseline(r: Retrieval, variant: str = "all") -> DataFrame:

@@ -54,10 +54,15 @@ class Retrieval:
     chunks: DataFrame
     questions: DataFrame
 
+    @cached_property
+    def tokenized(self) -> DataFrame:
+        """The chunks without their texts, with their terms: each tokenized once, however many questions follow."""
+        return cut_lineage(self.chunks.withColumn("terms", X.terms(F.col("text"))).drop("text"))
+
     @cached_property
     def lengths(self) -> DataFrame:
         """chunk_key, repo_id, path and the number of terms."""
-        return self.chunks.select("chunk_key", "repo_id", "path", F.size(X.terms(F.col("text"))).cast("bigint").alias("len"))
+        return self.tokenized.select("chunk_key", "repo_id", "path", F.size("terms").cast("bigint").alias("len"))
 
     @cached_property
     def corpus(self) -> DataFrame:
@@ -72,8 +77,9 @@ class Retrieval:
     def postings(self) -> DataFrame:
         """repo_id, chunk_key, path, term, tf of the terms that a question of the repository asks for."""
         asked = self.question_terms.select("repo_id", "term").distinct()
-        every = self.chunks.join(self.questions.select("repo_id").distinct(), "repo_id", "left_semi").select("repo_id", "chunk_key", "path", F.explode(X.terms(F.col("text"))).alias("term"))
-        return every.join(asked, ["repo_id", "term"], "left_semi").groupBy("repo_id", "chunk_key", "path", "term").agg(F.count("*").alias("tf"))
+        # Joined by repository and term together: no repository, however large, is one task's.
+        hits = self.tokenized.select("repo_id", "chunk_key", "path", F.explode("terms").alias("term")).join(asked, ["repo_id", "term"], "left_semi")
+        return hits.groupBy("repo_id", "chunk_key", "path", "term").agg(F.count("*").alias("tf"))
 
     @cached_property
     def document_frequency(self) -> DataFrame:
@@ -91,7 +97,7 @@ class Retrieval:
         listed = F.array_sort(F.collect_list(F.struct("term_pos", part.alias("part"), "term")))
         per = rows.groupBy(*KEY, "chunk_key").agg(listed.alias("hits"))
         sums = per.select(*KEY, "chunk_key", F.aggregate("hits", F.lit(0.0), lambda a, x: a + x.part).alias("raw"), F.transform("hits", lambda x: x.term).alias("matched"))
-        facts = self.chunks.select("chunk_key", "file_id", "chunk_ord", "path", "start_line", "end_line", "tokens", "defines")
+        facts = self.tokenized.select("chunk_key", "file_id", "chunk_ord", "path", "start_line", "end_line", "tokens", "defines")
         full = sums.join(facts, "chunk_key").join(self.questions.select("repo_id", "question", "qterms"), ["repo_id", "question"])
         boost = F.when(F.arrays_overlap(F.transform("defines", F.lower), "qterms"), DEFINITION_BOOST).otherwise(1.0)
         # Five later stages read the scores; they are written once.
@@ -131,7 +137,7 @@ class Retrieval:
         """Chunks of reached files that are not direct, scored below every direct one."""
         weakest = self.direct.groupBy(*KEY).agg(F.min("score").alias("weakest"))
         near = self.hops.join(weakest, KEY)
-        facts = ingest.variants(self.chunks.select("chunk_key", "repo_id", "file_id", "chunk_ord", "path", "start_line", "end_line", "tokens"))
+        facts = ingest.variants(self.tokenized.select("chunk_key", "repo_id", "file_id", "chunk_ord", "path", "start_line", "end_line", "tokens"))
         reached = facts.join(near, ["variant", "repo_id", "path"]).join(self.direct.select(*KEY, "chunk_key"), [*KEY, "chunk_key"], "left_anti")
         weight = F.lit(SIBLING_WEIGHT) * F.pow(F.lit(HOP_DECAY), F.col("hop"))
         return reached.withColumn("score", F.col("weakest") * weight).drop("weakest")
@@ -161,8 +167,8 @@ class Retrieval:
 
     @cached_property
     def repo_totals(self) -> DataFrame:
-        f = ingest.variants(self.files).groupBy("variant", "repo_id").agg(F.sum("tokens").alias("naive_tokens"), F.count("*").alias("n_files"))
-        c = ingest.variants(self.chunks).groupBy("variant", "repo_id").agg(F.count("*").alias("n_chunks"))
+        f = ingest.variants(self.files.select("repo_id", "path", "tokens")).groupBy("variant", "repo_id").agg(F.sum("tokens").alias("naive_tokens"), F.count("*").alias("n_files"))
+        c = ingest.variants(self.tokenized.select("repo_id", "path")).groupBy("variant", "repo_id").agg(F.count("*").alias("n_chunks"))
         return f.join(c, ["variant", "repo_id"], "left")
 
     def report(self, budget: int) -> DataFrame:
