@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from gleanspark.functions import text as X
 
+from .symbols import with_defines
+
 #: Fixed values.
 MAX_FILE_UNITS = 200_000
 MAX_SOURCE_UNITS = 2_500_000
@@ -106,10 +108,10 @@ def segments(files: DataFrame) -> DataFrame:
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
-    """file_id, path, chunk_ord, id, start_line, end_line, text: small segments folded into the chunk before, blank ones dropped.
+    """file_id, path, chunk_ord, id, start_line, end_line, text, defines: small segments folded into the chunk before, blank ones dropped.
 
     A segment begins a chunk if it isn't blank and has MIN_LINES lines or is the file's first such; shorter ones
-    extend the chunk before; a longer blank one is skipped. The id keeps the end before folding.
+    extend the chunk before; a longer blank one is skipped. The id keeps the end before folding; text and defines are those after it.
     """
     by_file = Window.partitionBy("file_id", "path")
     w = by_file.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
@@ -120,9 +122,10 @@ def chunk_files(files: DataFrame) -> DataFrame:
     head = F.when(F.col("push"), F.col("start_line"))
     spans = s.groupBy("file_id", "path", "chunk").agg(F.max(head).alias("start_line"), F.max("end_line").alias("end_line"), F.max(F.when(F.col("push"), F.col("end_line"))).alias("end0"))
     cut = F.array_join(F.slice(F.split("text", "\n", -1), F.col("start_line") + 1, F.col("end_line") - F.col("start_line")), "\n")
-    return spans.join(files.select("file_id", "text"), "file_id").select(
+    chunks = spans.join(files.select("file_id", "text"), "file_id").select(
         "file_id", "path", (F.col("chunk") - 1).cast("int").alias("chunk_ord"), F.concat(F.col("path"), F.lit("#"), F.col("start_line"), F.lit("-"), F.col("end0")).alias("id"), "start_line", "end_line", cut.alias("text")
     )
+    return with_defines(chunks)
 
 
 def line_grep(files: DataFrame, needle: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanspark.functions import text as X
 from gleanspark.operators import dense, ingest, measure
 from gleanspark.operators.retrieval import KEY, Retrieval, clean_anchors, clean_questions
+from gleanspark.operators.symbols import with_defines
 from gleanspark.sources.tables import read_table
 
 BUDGET = 8000
@@ -53,7 +54,7 @@ QUERIES = {
     "decl_lines": lambda s, d: ingest.declaration_lines(_files(s, d)),
     "chunk_segments": lambda s, d: ingest.segments(_files(s, d)).select("file_id", "idx", "start_line", "end_line", "blank"),
     "chunk_fold": lambda s, d: ingest.chunk_files(_files(s, d)),
-    "defined_symbols": lambda s, d: _chunks(s, d).select("chunk_key", F.explode(X.keyword_symbols(F.col("text"))).alias("symbol")),
+    "defined_symbols": lambda s, d: with_defines(_chunks(s, d)).select("chunk_key", F.explode("defines").alias("symbol")),
     "tokenize_terms": lambda s, d: _chunks(s, d).select("chunk_key", F.explode(X.terms(F.col("text"))).alias("term")).groupBy("chunk_key", "term").agg(F.count("*").alias("tf")),
     "query_terms": lambda s, d: _retrieval(s, d).question_terms,
     "corpus_stats": lambda s, d: rounded(_retrieval(s, d).corpus, "avg_len"),
