@@ -166,26 +166,25 @@ def evidence(files: DataFrame) -> DataFrame:
     return map_batches(rows, run, ddl).dropDuplicates(["file_id"])
 
 
-def name_pairs(path: Column) -> Column:
-    """Keys of a file name: each pair of its words (or its one word), so that a copy with a changed name is still met."""
-    base = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
-    words = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.regexp_replace(base, "([a-z0-9])([A-Z])", "$1 $2"), F.lit("([A-Za-z]{3,})"), F.lit(1)), F.lower)))
-    few = F.slice(words, 1, 6)
-    pairs = F.flatten(F.transform(few, lambda x, i: F.transform(F.slice(few, i + 2, 6), lambda y: F.xxhash64(x, y))))
-    return F.when(F.size(few) > 1, pairs).otherwise(F.transform(few, lambda x: F.xxhash64(x)))
+def name_keys(path: Column) -> Column:
+    """Keys of a file name: each of its words, of any script and length, so that a copy with a changed name is still met; the name itself where it has none."""
+    base = F.substring_index(path, "/", -1)
+    apart = F.regexp_replace(F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""), r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2")
+    words = F.array_distinct(F.transform(F.regexp_extract_all(apart, F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1)), F.lower))
+    return F.when(F.size(words) > 0, F.transform(words, lambda x: F.xxhash64(x))).when(path.isNotNull(), F.array(F.xxhash64(F.lower(base))))
 
 
 def shared_rules(measured: DataFrame) -> DataFrame:
     """file_id, shared: the share of a file under rules that a file of like name in another repository has too.
 
-    A rule and a pair of words of the file's name are one key; the least and the greatest slug of a key say
+    A rule and a word of the file's name are one key; the least and the greatest slug of a key say
     whether repositories share it. Both are kept per task before the shuffle, so a rule that stands in very
     many files is a row a task.
     """
     parts = F.arrays_zip(F.col("phrases").alias("p"), F.col("weights").alias("w"))
-    keyed = measured.where(F.col("slug").isNotNull()).select("file_id", "slug", "n", F.explode(name_pairs(F.col("path"))).alias("pair"), parts.alias("parts")).select("file_id", "slug", "n", "pair", F.inline("parts")).select("file_id", "slug", "n", "pair", F.xxhash64("p", "pair").alias("key"), "w")
+    keyed = measured.where(F.col("slug").isNotNull()).select("file_id", "slug", "n", F.explode(name_keys(F.col("path"))).alias("word"), parts.alias("parts")).select("file_id", "slug", "n", "word", F.inline("parts")).select("file_id", "slug", "n", "word", F.xxhash64("p", "word").alias("key"), "w")
     common = keyed.groupBy("key").agg(F.min("slug").alias("a"), F.max("slug").alias("b")).where("a <> b").select("key")
-    return keyed.join(common, "key").groupBy("file_id", "pair", "n").agg(F.sum("w").alias("w")).groupBy("file_id").agg(F.max(F.col("w") / F.col("n")).alias("shared"))
+    return keyed.join(common, "key").groupBy("file_id", "word", "n").agg(F.sum("w").alias("w")).groupBy("file_id").agg(F.max(F.col("w") / F.col("n")).alias("shared"))
 
 
 def kinds(files: DataFrame) -> DataFrame:
