@@ -97,8 +97,7 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 _MARK_HINTS = ("generat", "do not edit", "not modify", "will be lost", "overwritten", "do not touch", "machine", "begin ", "erzeugt", "generiert", "produit", "généré", "genere", " por ", "no editar", "no modificar", "automatically")
 _TAKEN_HINTS = ("vendored", "upstream", "copied", "imported from", "snapshot of", "synced", "bundled", "local patches", "part of", "(c)")
-#: Characters at a file's beginning in which a notice of its origin stands.
-_HEAD = 4000
+_OWNER_HINTS = ("is free software", "this file ", "copyright ", " project")
 
 
 def _says(pattern: re.Pattern, hints: tuple[str, ...], low: str, text: str) -> bool:
@@ -123,10 +122,8 @@ def measure(texts: list[str], projects: list[str]) -> dict[str, np.ndarray | lis
     foreign, taken, mark = [], [], []
     for t, own in zip(texts, projects):
         low = t.lower()
-        m = OWNER.search(t, 0, _HEAD)
-        who = m and next((x for x in m.groups() if x), None)
-        foreign.append(bool(who) and bool(own) and who.lower() != own)
-        taken.append(_says(TAKEN, _TAKEN_HINTS, low[:_HEAD], t[:_HEAD]))
+        foreign.append(bool(own) and any(h in low for h in _OWNER_HINTS) and any(m[m.lastgroup].lower() != own for m in OWNER.finditer(t)))
+        taken.append(_says(TAKEN, _TAKEN_HINTS, low, t))
         mark.append(_says(MARK, _MARK_HINTS, low, t))
     return {
         "n": length, "exact": exact / total, "shaped": shaped / total, "covered": covered / total,
@@ -190,7 +187,7 @@ def shared_rules(measured: DataFrame) -> DataFrame:
 def kinds(files: DataFrame) -> DataFrame:
     """file_id, kind and the measures it rests on, of every file; kind is null for hand-written source.
 
-    - vendored: it stands in a folder for other projects' code, its name carries a release, its head says where
+    - vendored: it stands in a folder for other projects' code, its name carries a release, a comment says where
       it was taken from or names another project as owner, or most of it is under rules that a file of like
       name in another repository has too;
     - generated: a comment or the path says that a tool wrote it, or a few rules over shapes (names and numbers
