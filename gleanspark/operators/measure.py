@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,14 +39,37 @@ def budget_sweep(r: Retrieval, depths: DataFrame) -> DataFrame:
     return recall(depths).join(fit, ["repo_id", "question"], "left_semi").groupBy("variant", "budget").agg(F.avg("pct").alias("mean_pct"), F.count("*").alias("n_questions"))
 
 
-def monotone_violations(depths: DataFrame, top: int = 120_000) -> DataFrame:
-    """Budgets at which fewer anchors are found than at the one before; there should be none."""
+def _steps(top: int) -> tuple[int, ...]:
     steps, b = [], 200
     while b <= top:
         steps.append(b)
         b = -(-b * 135 // 100)
+    return tuple(steps)
+
+
+def _drops(found: DataFrame) -> DataFrame:
     w = Window.partitionBy(*KEY).orderBy("budget")
-    return recall(depths, tuple(steps)).withColumn("before", F.lag("found").over(w)).where("found < before").select(*KEY, "budget", "found", "before")
+    return found.withColumn("before", F.lag("found").over(w)).where("found < before").select(*KEY, "budget", "found", "before")
+
+
+def monotone_violations(depths: DataFrame, top: int = 120_000) -> DataFrame:
+    """Budgets at which fewer depths fit than at the one before; by definition there is none, so this says nothing about the packing."""
+    return _drops(recall(depths, _steps(top)))
+
+
+def found_by_packing(r: Retrieval, anchors: DataFrame, budgets: tuple[int, ...]) -> DataFrame:
+    """Key, budget, found, at the budgets up to the repository's size: anchors that a chunk kept at that budget holds, as ``packed`` says."""
+    asked = anchors.join(r.repo_totals.select("variant", "repo_id", "naive_tokens"), "repo_id").join(r.questions.select("repo_id", "question"), ["repo_id", "question"])
+    each = asked.withColumn("budget", F.explode(F.array(*[F.lit(b) for b in budgets]))).where("budget <= naive_tokens")
+    # Packed anew for each budget: what is kept at one says nothing of what is kept at the next.
+    kept = reduce(DataFrame.unionByName, [r.packed(b).where("kept").select(*KEY, "path", "start_line", "end_line", F.lit(b).alias("budget")) for b in budgets])
+    held = asked.join(kept, [*KEY, "path"]).where(covers()).select(*KEY, "path", "line", "budget").distinct().withColumn("held", F.lit(1))
+    return each.join(held, [*KEY, "path", "line", "budget"], "left").groupBy(*KEY, "budget").agg(F.count("held").alias("found"))
+
+
+def packing_violations(r: Retrieval, anchors: DataFrame, top: int = 120_000) -> DataFrame:
+    """Budgets at which the packing holds fewer anchors than at the one before; there should be none."""
+    return _drops(found_by_packing(r, anchors, _steps(top)))
 
 
 def minimum_budget(r: Retrieval, depths: DataFrame, step: int = SEARCH_STEP) -> DataFrame:

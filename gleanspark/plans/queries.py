@@ -77,7 +77,7 @@ QUERIES = {
     "anchor_depth": lambda s, d: _depths(s, d, _retrieval(s, d)),
     "recall": lambda s, d: rounded(measure.recall(_depths(s, d, _retrieval(s, d))), "pct"),
     "budget_sweep": lambda s, d: (lambda r: rounded(measure.budget_sweep(r, _depths(s, d, r)), "mean_pct"))(_retrieval(s, d)),
-    "monotone_check": lambda s, d: measure.monotone_violations(_depths(s, d, _retrieval(s, d))),
+    "monotone_check": lambda s, d: measure.packing_violations(_retrieval(s, d), clean_anchors(read_table(s, d, "anchors"))),
     "minimum_budget": lambda s, d: _minimum(s, d)[1],
     "markdown_effect": lambda s, d: rounded(measure.markdown_effect(_minimum(s, d)[1]), "change_pct"),
     "minimum_vs_grep": lambda s, d: rounded(measure.minimum_against_grep(*_minimum(s, d)), "ratio", "share"),
