@@ -140,15 +140,25 @@ _LOW = np.uint64((1 << 48) - 1)
 
 
 def shingle_keys(texts: list[str | None], k: int) -> np.ndarray:
-    """Sorted distinct keys (text's place << 48 | 48-bit hash of k consecutive words) of at most 65,536 texts."""
+    """Sorted distinct keys (text's place << 48 | 48-bit hash of k consecutive words, or of all words if they are fewer) of at most 65,536 texts."""
     h, doc = words(texts)
-    n = len(h) - k + 1
-    if n <= 0:
+    if not len(h):
         return np.empty(0, np.uint64)
+    n = max(0, len(h) - k + 1)
     acc = h[:n].copy()
     for j in range(1, k):
         acc = acc * np.uint64(0xFF51AFD7ED558CCD) + h[j : j + n]
-    whole = doc[:n] == doc[k - 1 :]
+    whole = doc[:n] == doc[len(h) - n :]
     key = (doc[:n][whole].astype(np.uint64) << np.uint64(48)) | (mix(acc[whole]) & _LOW)
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    count = np.diff(np.append(first, len(h)))
+    first, count = first[count < k], count[count < k]
+    if len(first):
+        # The number of words is part of the hash, so that none equals a shingle of k words but by chance.
+        acc = h[first] + count.astype(np.uint64)
+        for j in range(1, k - 1):
+            more = count > j
+            acc[more] = acc[more] * np.uint64(0xFF51AFD7ED558CCD) + h[first[more] + j]
+        key = np.concatenate([key, (doc[first].astype(np.uint64) << np.uint64(48)) | (mix(mix(acc)) & _LOW)])
     key.sort()
     return key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
