@@ -12,7 +12,6 @@ import heapq
 from array import array
 
 import numpy as np
-import pandas as pd
 
 from . import kernel
 
@@ -150,8 +149,8 @@ class Ranks:
 
 
 _loaded: dict[str, Ranks] = {}
-_counts: dict[str, dict[int, int]] = {}
-_ids: dict[str, dict[int, bytes]] = {}
+_counts: dict[str, dict[str, int]] = {}
+_ids: dict[str, dict[str, bytes]] = {}
 
 
 def load(path: str) -> Ranks:
@@ -160,62 +159,66 @@ def load(path: str) -> Ranks:
     return _loaded[path]
 
 
-def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, distinct hashes, and the place of one occurrence of each."""
-    codes, uniq = pd.factorize(h)
-    place = np.empty(len(uniq), np.int64)
-    place[codes] = np.arange(len(codes))
-    return codes, uniq, place
+def _known(caches: dict[str, dict], path: str) -> dict:
+    """The pieces that this worker has met, by their own characters, never by a hash of them."""
+    known = caches.setdefault(path, {})
+    if len(known) > CACHE:
+        known.clear()
+    return known
 
 
 def count_tokens(texts: list[str | None], path: str) -> np.ndarray:
     """Tokens of each text: every distinct piece is merged once and weighted by its frequency."""
-    out = np.zeros(len(texts), np.int64)
-    for lo, hi in kernel.blocks(texts):
-        joined, at, stop, h, first = kernel.pieces(texts[lo:hi])
-        if not len(h):
+    some, whose = kernel.parts(texts, kernel.PIECE_BORDER)
+    out = np.zeros(len(some), np.int64)
+    for lo, hi in kernel.blocks(some):
+        joined, at, stop, cp, first = kernel.pieces(some[lo:hi])
+        if not len(at):
             continue
-        codes, uniq, place = _distinct(h)
-        known = _counts.setdefault(path, {})
-        if len(known) > CACHE:
-            known.clear()
-        ranks = load(path)
-        per = np.empty(len(uniq), np.int64)
-        for i, x in enumerate(uniq.tolist()):
+        codes, place = kernel.distinct(cp, at, stop)
+        known, ranks = _known(_counts, path), load(path)
+        per = np.empty(len(place), np.int64)
+        for i, (s, t) in enumerate(zip(at[place].tolist(), stop[place].tolist())):
+            x = joined[s:t]
             n = known.get(x)
             if n is None:
-                p = place[i]
-                b = joined[at[p] : stop[p]].encode()
+                b = x.encode()
                 n = known[x] = 1 if b in ranks.rank else len(ranks.merge(b))
             per[i] = n
         total = np.concatenate([[0], np.cumsum(per[codes])])
         out[lo:hi] = np.diff(total[first])
+    return _sums(out, whose, len(texts))
+
+
+def _sums(of_parts: np.ndarray, whose: np.ndarray, n: int) -> np.ndarray:
+    """What the parts of each of ``n`` texts have together."""
+    if len(of_parts) == n:
+        return of_parts
+    out = np.zeros(n, np.int64)
+    np.add.at(out, whose, of_parts)
     return out
 
 
 def encode(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Flat token ids of all texts, and how many each text has."""
-    flats, sizes = [], np.zeros(len(texts), np.int64)
-    for lo, hi in kernel.blocks(texts):
-        joined, at, stop, h, first = kernel.pieces(texts[lo:hi])
-        if not len(h):
+    some, whose = kernel.parts(texts, kernel.PIECE_BORDER)
+    flats, sizes = [], np.zeros(len(some), np.int64)
+    for lo, hi in kernel.blocks(some):
+        joined, at, stop, cp, first = kernel.pieces(some[lo:hi])
+        if not len(at):
             continue
-        codes, uniq, place = _distinct(h)
-        known = _ids.setdefault(path, {})
-        if len(known) > CACHE:
-            known.clear()
-        xs = uniq.tolist()
-        new = [i for i, x in enumerate(xs) if x not in known]
-        if new:
-            b, e = at[place[new]].tolist(), stop[place[new]].tolist()
-            fresh = sorted((joined[s:t].encode(), xs[i]) for s, t, i in zip(b, e, new))
+        codes, place = kernel.distinct(cp, at, stop)
+        known = _known(_ids, path)
+        xs = [joined[s:t] for s, t in zip(at[place].tolist(), stop[place].tolist())]
+        if new := [x for x in xs if x not in known]:
+            fresh = sorted((x.encode(), x) for x in new)
             known.update(zip([x for _, x in fresh], load(path).encode_sorted([w for w, _ in fresh])))
-        parts = [known[x] for x in xs]
-        pool = np.frombuffer(b"".join(parts), np.int32)
-        n = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+        pool_of = [known[x] for x in xs]
+        pool = np.frombuffer(b"".join(pool_of), np.int32)
+        n = np.fromiter(map(len, pool_of), np.int64, len(pool_of)) >> 2
         start = np.cumsum(n) - n
         each = n[codes]
         total = np.concatenate([[0], np.cumsum(each)])
         flats.append(pool[np.arange(total[-1]) + np.repeat(start[codes] - total[:-1], each)])
         sizes[lo:hi] = np.diff(total[first])
-    return (np.concatenate(flats) if flats else np.empty(0, np.int32)), sizes
+    return (np.concatenate(flats) if flats else np.empty(0, np.int32)), _sums(sizes, whose, len(texts))

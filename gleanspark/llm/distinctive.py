@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,15 +33,13 @@ def term_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np
     stop[:-1] &= ~letter[1:] | (lower[:-1] & upper[1:])
     begin, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
     low = b | (upper.astype(np.uint8) << 5)
-    codes, uniq = pd.factorize(kernel.span_hashes(low, begin, end))
-    place = np.empty(len(uniq), np.int64)
-    place[codes] = np.arange(len(codes))
+    codes, place = kernel.distinct(low, begin, end)
     whole = low.tobytes()
     terms = [whole[x:y].decode() for x, y in zip(begin[place].tolist(), end[place].tolist())]
     ends = np.cumsum(np.fromiter((len(r) + 1 for r in raws), np.int64, len(raws)))
     doc = np.searchsorted(ends, begin, side="right")
-    key, n = np.unique(doc * max(1, len(uniq)) + codes, return_counts=True)
-    return key // max(1, len(uniq)), key % max(1, len(uniq)), terms, n
+    key, n = np.unique(doc * max(1, len(terms)) + codes, return_counts=True)
+    return key // max(1, len(terms)), key % max(1, len(terms)), terms, n
 
 
 def postings(records: DataFrame, key: str = "chunk_key", text: str = "text", defines: str = "defines") -> DataFrame:

@@ -4,8 +4,9 @@ Records are sets of word shingles. Several independent trees are grown over them
 coordinates of a minwise signature are chosen by a hash of the node, and records that agree in a chosen
 coordinate go to the same child, so similar records stay together along many paths while others part.
 A node with few records is compared exhaustively; a node that stops shrinking holds records that agree
-nearly everywhere and is compared exhaustively too, in joined blocks, never in one task. Candidates are
-thinned by their signatures and decided by the shingle sets themselves.
+nearly everywhere and is compared exhaustively too, cut into blocks of ``BLOCK`` records, each pair of blocks
+on its own, so no task compares more than a block with a block. Candidates are thinned by their signatures
+and decided by the shingle sets themselves.
 
 Records with one and the same set are one class and enter the trees once.
 """
@@ -24,6 +25,8 @@ from .arrow import column, map_batches, raw
 
 #: Coordinates of a signature; a byte of each is kept.
 COORDINATES = 64
+#: Records of a node or class that meet in one group; more are cut into blocks, and every pair of blocks is a group.
+BLOCK = 512
 _rng = np.random.default_rng(20240501)
 _XOR = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -82,8 +85,8 @@ def sketch(records: DataFrame, k: int, min_shingles: int, roots: int) -> DataFra
 def verified(pairs: DataFrame, records: DataFrame, k: int, threshold: float) -> DataFrame:
     """kind, a, b, similarity of the pairs whose shingle sets reach the threshold.
 
-    Texts of the pairs' records alone are fetched. The comparison is made in whole numbers: with s shared
-    and u in either, s >= threshold * u.
+    Texts of the pairs' records alone are fetched. Shingles are compared by their words, not by hashes, and in whole
+    numbers: with s shared and u in either, s >= threshold * u.
     """
     ids = pairs.select("kind", F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = records.join(ids, ["kind", "id"], "left_semi").dropDuplicates(["kind", "id"])
@@ -95,15 +98,7 @@ def verified(pairs: DataFrame, records: DataFrame, k: int, threshold: float) ->
         n = len(ta)
         shared, either = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for lo, hi in kernel.blocks([x + y for x, y in zip(ta, tb)]):
-            for c in range(lo, hi, 65_536):
-                d = min(hi, c + 65_536)
-                x, y = kernel.shingle_keys(ta[c:d], k), kernel.shingle_keys(tb[c:d], k)
-                every = np.concatenate([x, y])
-                every.sort()
-                twice = every[1:][every[1:] == every[:-1]]
-                m = d - c
-                shared[c:d] = np.bincount((twice >> np.uint64(48)).astype(np.int64), minlength=m)
-                either[c:d] = np.bincount((every >> np.uint64(48)).astype(np.int64), minlength=m) - shared[c:d]
+            shared[lo:hi], either[lo:hi] = kernel.shared_shingles(ta[lo:hi], tb[lo:hi], k)
         j = shared / np.maximum(either, 1)
         keep = np.flatnonzero((either > 0) & (j >= threshold - 1e-12))
         take = pa.array(keep)
@@ -140,6 +135,22 @@ def _pairs_in(list_col: str, threshold: float) -> str:
     return f"flatten(transform({list_col}, (x, i) -> transform({later}, y -> struct(x.id AS a, y.id AS b))))"
 
 
+def block_pairs(rows: DataFrame, keys: list[str], size: str, block: int | None = None) -> DataFrame:
+    """Every pair of different records of one group once, as structs ``x`` and ``y`` of the other columns, in blocks.
+
+    ``rows`` has the group's keys, an ``id`` that is unique in the group, and the group's number of records in ``size``. A group of more than
+    ``block`` records is dealt into blocks by a hash of the id; each pair of blocks is a key of the join, so its
+    tasks hold two blocks, however large the group is.
+    """
+    b = BLOCK if block is None else block
+    n = F.ceil(F.col(size) / F.lit(b)).cast("int")
+    other = [c for c in rows.columns if c not in keys and c != size]
+    dealt = rows.withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    x = dealt.select(*keys, F.struct(*other).alias("x"), F.col("_b").alias("_bx"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("_by"))
+    y = dealt.select(*keys, F.struct(*other).alias("y"), F.explode(F.sequence(F.lit(0), "_b")).alias("_bx"), F.col("_b").alias("_by"))
+    return x.join(y, [*keys, "_bx", "_by"]).where("_bx < _by OR x.id < y.id").select(*keys, "x", "y")
+
+
 def candidates(reps: DataFrame, threshold: float, branches: int, leaf: int, stall: float, depth: int) -> DataFrame:
     """kind, a, b (a < b): the pairs of class representatives that meet in a node compared exhaustively."""
     level = reps.select("kind", "id", "n", "bits", F.explode("nodes").alias("node"), F.lit(None).cast("bigint").alias("above"))
@@ -155,8 +166,8 @@ def candidates(reps: DataFrame, threshold: float, branches: int, leaf: int, stal
         large = cut_lineage(kept.where(~done).withColumn("stuck", stuck))
         state = {r.stuck: r.n for r in large.groupBy("stuck").agg(F.count("*").alias("n")).collect()}
         if state.get(True):
-            x, y = (large.where("stuck").select("kind", "node", F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
-            found.append(x.join(y, ["kind", "node"]).where(f"a < b AND {_may_match('a_', 'b_', threshold)}").select("kind", "a", "b").distinct())
+            met = block_pairs(large.where("stuck").select("kind", "node", "id", "n", "bits", "m").distinct(), ["kind", "node"], "m")
+            found.append(met.where(_may_match("x.", "y.", threshold)).select("kind", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
         if not state.get(False):
             break
         level = large.where("not stuck").join(reps.select("kind", "id", "sig"), ["kind", "id"]).select("kind", "id", "n", "bits", F.expr(f"explode({_children('node', branches)})").alias("node"), F.col("m").alias("above"))
@@ -196,13 +207,23 @@ def similarity_join(records: DataFrame, k: int = 5, threshold: float = 0.8, min_
 
 
 def record_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """record_kind, id_a < id_b: the links and the equal sets, written out for every record of the classes."""
-    crowd = members.groupBy("kind", "rep").agg(F.count("*").alias("m")).where("m > 1").select("kind", "rep")
-    same = members.join(crowd, ["kind", "rep"], "left_semi")
-    inside = same.withColumnRenamed("id", "x").join(same.withColumnRenamed("id", "y"), ["kind", "rep"]).where("x < y").select("kind", "x", "y")
-    of_a, of_b = members.select("kind", F.col("id").alias("x"), F.col("rep").alias("a")), members.select("kind", F.col("id").alias("y"), F.col("rep").alias("b"))
-    across = links.select("kind", "a", "b").join(of_a, ["kind", "a"]).join(of_b, ["kind", "b"]).select("kind", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    return inside.unionByName(across).select(F.col("kind").alias("record_kind"), F.col("x").alias("id_a"), F.col("y").alias("id_b")).distinct()
+    """record_kind, id_a < id_b: the links and the equal sets, written out for every record of the classes.
+
+    A large class is dealt into blocks: its own pairs come from pairs of blocks, and a link to it is joined with
+    each block on its own, so no task holds a class. The two kinds of pairs have no row in common and links
+    are different, so nothing is made distinct at the end.
+    """
+    sizes = members.groupBy("kind", "rep").agg(F.count("*").alias("m")).where("m > 1")
+    inside = block_pairs(members.join(sizes, ["kind", "rep"]), ["kind", "rep"], "m").select("kind", F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+    large = sizes.where(F.col("m") > BLOCK).select("kind", "rep", F.ceil(F.col("m") / BLOCK).cast("int").alias("_n"))
+    one = F.coalesce("_n", F.lit(1))
+    dealt = members.join(large, ["kind", "rep"], "left").select("kind", "rep", "id", F.pmod(F.xxhash64("id"), one).cast("int").alias("_b"))
+    across = links.select("kind", "a", "b").distinct()
+    for side, out in (("a", "x"), ("b", "y")):
+        across = across.join(large.withColumnRenamed("rep", side), ["kind", side], "left").withColumn("_b", F.explode(F.sequence(F.lit(0), one - 1))).drop("_n")
+        across = across.join(dealt.withColumnsRenamed({"rep": side, "id": out}), ["kind", side, "_b"]).drop("_b")
+    pairs = inside.unionByName(across.select("kind", "x", "y"))
+    return pairs.select(F.col("kind").alias("record_kind"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
