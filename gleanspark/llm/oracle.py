@@ -36,4 +36,8 @@ p AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, count(*) AS c FROM e a JOIN e b
 SELECT p.kind AS record_kind, id_a, id_b FROM p JOIN n x ON x.kind = p.kind AND x.id = id_a JOIN n y ON y.kind = p.kind AND y.id = id_b WHERE 10 * c >= 6 * (x.n + y.n - c)""",
     "p3_found": _BLOCKS + "SELECT file_id, s AS cut_line FROM two WHERE size0 <= m AND size <= m AND size0 + size > m",
     "p5_found": _TERMS + "SELECT chunk_key, arg_max(term, tf * ln((SELECT n FROM nn) / n_records::DOUBLE)) AS term FROM tf JOIN st USING (term) SEMI JOIN term_probes USING (chunk_key) GROUP BY chunk_key",
+    "p5_terms": _TERMS
+    + r""", x AS (SELECT chunk_key, term, tf, n_records, f / (SELECT n FROM nn)::DOUBLE AS m, tf * log2(1 + (SELECT a FROM av) / len) AS t FROM tf JOIN st USING (term) JOIN len USING (chunk_key)),
+y AS (SELECT *, (log2(1 + m) + t * log2((1 + m) / m)) / (t + 1) AS score FROM x)
+SELECT chunk_key, term, tf, n_records, (SELECT n FROM nn) AS n_all, round(score, 6) AS score, row_number() OVER (PARTITION BY chunk_key ORDER BY score DESC, term) AS rank FROM y""",
 }

@@ -54,7 +54,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_terms(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive.score_terms(read_table(spark, d, "chunks"))
+    return distinctive.score_terms(read_table(spark, d, "chunks")).withColumn("score", F.round("score", 6))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import re
 
 import pytest
@@ -56,6 +57,26 @@ def test_only_some_records_are_scored_against_all(spark, chunks):
     assert [tuple(r) for r in distinctive.leading_terms(chunks, probes).collect()] == [(4, "zeta")]
 
 
+def test_rare_and_common_terms_are_ranked_together(spark, chunks, truth, monkeypatch):
+    every = sorted(map(tuple, distinctive.score_terms(chunks).collect()))
+    for common in (0, 2, 3):  # terms in more than all, half and a third of the records
+        monkeypatch.setattr(distinctive, "COMMON", common)
+        assert sorted(map(tuple, distinctive.score_terms(chunks).collect())) == every
+
+
+def test_the_weight_decides_whatever_the_ranking(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choices([a + b for a in "abcdefgh" for b in "xyzuv"], [1 + j % 7 * j for j in range(40)], k=rng.randint(1, 60))), None) for i in range(60)]
+    df = spark.createDataFrame(rows, "chunk_key long, text string, defines array<string>")
+    tf = {i: collections.Counter(t.split()) for i, t, _ in rows}
+    n = collections.Counter(t for c in tf.values() for t in c)
+    want = {(i, min(c, key=lambda t: (-c[t] * math.log(60 / n[t]), t))) for i, c in tf.items()}
+    got = {tuple(r) for r in distinctive.leading_terms(df, df).collect()}
+    assert got == want
+    first = {(r.chunk_key, r.term) for r in distinctive.score_terms(df).where("rank = 1").collect()}
+    assert first != want  # the ranking alone would not do
+
+
 def test_empty(spark, chunks):
     probes = spark.createDataFrame([(4,)], "chunk_key long")
     assert distinctive.score_terms(chunks.limit(0)).count() == 0
