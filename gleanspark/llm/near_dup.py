@@ -206,23 +206,30 @@ def similarity_join(records: DataFrame, k: int = 5, threshold: float = 0.8, min_
     return links, members
 
 
-def record_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """record_kind, id_a < id_b: the links and the equal sets, written out for every record of the classes.
+def expanded(links: DataFrame, members: DataFrame) -> DataFrame:
+    """kind, x, y for every record x of a class ``a`` and y of a class ``b`` that ``links`` (kind, a, b) joins; members has kind, rep, id.
 
-    A large class is dealt into blocks: its own pairs come from pairs of blocks, and a link to it is joined with
-    each block on its own, so no task holds a class. The two kinds of pairs have no row in common and links
-    are different, so nothing is made distinct at the end.
+    A large class is dealt into blocks and a link to it is joined with each block on its own, so no task holds a class.
     """
-    sizes = members.groupBy("kind", "rep").agg(F.count("*").alias("m")).where("m > 1")
-    inside = block_pairs(members.join(sizes, ["kind", "rep"]), ["kind", "rep"], "m").select("kind", F.col("x.id").alias("x"), F.col("y.id").alias("y"))
-    large = sizes.where(F.col("m") > BLOCK).select("kind", "rep", F.ceil(F.col("m") / BLOCK).cast("int").alias("_n"))
+    large = members.groupBy("kind", "rep").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("kind", "rep", F.ceil(F.col("m") / BLOCK).cast("int").alias("_n"))
     one = F.coalesce("_n", F.lit(1))
     dealt = members.join(large, ["kind", "rep"], "left").select("kind", "rep", "id", F.pmod(F.xxhash64("id"), one).cast("int").alias("_b"))
     across = links.select("kind", "a", "b").distinct()
     for side, out in (("a", "x"), ("b", "y")):
         across = across.join(large.withColumnRenamed("rep", side), ["kind", side], "left").withColumn("_b", F.explode(F.sequence(F.lit(0), one - 1))).drop("_n")
         across = across.join(dealt.withColumnsRenamed({"rep": side, "id": out}), ["kind", side, "_b"]).drop("_b")
-    pairs = inside.unionByName(across.select("kind", "x", "y"))
+    return across.select("kind", "x", "y")
+
+
+def record_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
+    """record_kind, id_a < id_b: the links and the equal sets, written out for every record of the classes.
+
+    The pairs inside a class come from pairs of its blocks. The two kinds of pairs have no row in common and links
+    are different, so nothing is made distinct at the end.
+    """
+    sizes = members.groupBy("kind", "rep").agg(F.count("*").alias("m")).where("m > 1")
+    inside = block_pairs(members.join(sizes, ["kind", "rep"]), ["kind", "rep"], "m").select("kind", F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+    pairs = inside.unionByName(expanded(links, members))
     return pairs.select(F.col("kind").alias("record_kind"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
