@@ -13,13 +13,14 @@ from . import grammar, kernel
 from .arrow import clean_slug, column, map_batches, raw
 from .tokens import extension
 
-#: Words of the languages' own, kept apart from names in the grammar of shapes.
+#: Words of the languages' own, kept apart from names in the grammar of shapes. Types are names: which one stands
+#: in a place says nothing of how the place was written.
 KEYWORDS = (
-    "and async auto await bool break case catch char class const continue crate def default defer delete do double elif else enum "
-    "except export extends extern final finally float fn for from func function go if impl implements import in include inline int interface "
-    "is lambda let long loop map match mod module mut namespace new nil none not null or package pass private pub public raise range "
-    "require return self short signed sizeof static str string struct super switch template this throw trait true try type typedef typeof "
-    "union unsafe unsigned use using var virtual void volatile where while with yield"
+    "and async auto await break case catch class const continue crate def default defer delete do elif else enum "
+    "except export extends extern final finally fn for from func function go if impl implements import in include inline interface "
+    "is lambda let loop map match mod module mut namespace new nil none not null or package pass private pub public raise range "
+    "require return self sizeof static struct super switch template this throw trait true try type typedef typeof "
+    "union unsafe use using var virtual volatile where while with yield"
 ).split()
 
 _COMMENT = r"^[ \t]*(?://+|#+(?!include|define|if|endif|pragma)|/\*+|\*|--|;+|<!--|\"\"\"|''')[ \t!]*"
@@ -49,7 +50,6 @@ VENDOR_DIR = r"(?i)(^|/)(_?vendor(ed)?|third[_-]?party|3rd[_-]?party|node_module
 VERSIONED = r"-v?\d+\.\d+\.\d+[^/]*$"
 #: Folders and file names that tools write to.
 GENERATED_PATH = r"(?i)(^|/)(gen|autogen|auto-gen|__generated__|generated|codegen-out)/|\.(g|gen|generated|pb|pb2|designer|autogen)\.[a-z]+$|_(pb2|generated|gen)\.[a-z]+$|(^|/)zz_generated"
-MINIFIED_PATH = r"(?i)[.-]min\.[a-z]+$|\.bundle\.[a-z]+$"
 
 _TOKEN = np.zeros(256, np.uint8)
 _TOKEN[[*range(48, 58)]] = 2
@@ -184,33 +184,49 @@ def shared_rules(measured: DataFrame) -> DataFrame:
     return keyed.join(common, "key").groupBy("file_id", "word", "n").agg(F.sum("w").alias("w")).groupBy("file_id").agg(F.max(F.col("w") / F.col("n")).alias("shared"))
 
 
+#: The size of a grammar of shapes, as a share of the symbols, that tells few rules from many: 0.44 for SIZE symbols, falling by this power.
+#: Hand-written code needs a larger one at every length, since it repeats itself more the longer it is, but never so much.
+FEW, SIZE, POWER = 0.44, 125.0, -0.385
+
+
+def by_grammar() -> dict[str, Column]:
+    """What grammars alone say of a file, by the measures of ``evidence`` and ``shared_rules``.
+
+    - few_rules: a few rules over shapes (names, types and numbers taken alike) write three quarters of it and more;
+    - blob: near-incompressible: hardly a rule over the tokens themselves, and a quarter of it in literals of 40 characters and more;
+    - shared: half of it is under rules that a file of like name in another repository has too.
+    """
+    few = (F.col("shaped") <= FEW * F.pow(F.greatest(F.col("n"), F.lit(1.0)) / SIZE, F.lit(POWER))) & (F.col("covered") > 0.75)
+    return {"few_rules": few, "blob": (F.col("long") > 0.25) & (F.col("exact") > 0.9), "shared": F.col("shared") >= 0.5}
+
+
 def kinds(files: DataFrame) -> DataFrame:
     """file_id, kind and the measures it rests on, of every file; kind is null for hand-written source.
 
-    - vendored: it stands in a folder for other projects' code, its name carries a release, a comment says where
-      it was taken from or names another project as owner, or most of it is under rules that a file of like
-      name in another repository has too;
-    - generated: a comment or the path says that a tool wrote it, or a few rules over shapes (names and numbers
-      taken alike) write nearly all of it;
-    - minified: hardly any blanks, and names of a letter or two;
-    - data: near-incompressible literals, or numbers and text without the language's words.
+    - generated or data: a few rules over shapes write it (data if it is numbers without the language's words), or a comment or
+      the path says that a tool wrote it; data too if it is near-incompressible literals;
+    - vendored: most of it is under rules that a file of like name in another repository has too, or it stands in a folder for other
+      projects' code, its name carries a release, a comment says where it was taken from or names another project as owner;
+    - minified: hardly any blanks, and names of a letter or two (the mean length with an allowance for few names).
 
-    Prose (md) is no source and only its folder can make it vendored. Null and empty texts have no evidence but
-    their path. Rows of one file_id are one file; a null slug or path gives no evidence.
+    Grammars decide first; notices and paths only add files. Prose (md) is no source and only its folder can make it vendored. Null and empty texts
+    have no evidence but their path. Rows of one file_id are one file; a null slug or path gives no evidence.
     """
     from gleanspark.session import cut_lineage
 
     m = cut_lineage(evidence(files))
     m = m.drop("phrases", "weights").join(shared_rules(m), "file_id", "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
     path, code = F.col("path"), F.coalesce(extension(F.col("path")) != "md", F.lit(True))
-    vendored = path.rlike(VENDOR_DIR) | code & (path.rlike(VERSIONED) | F.col("taken") | F.col("foreign") | ((F.col("shared") >= 0.5) & (F.col("n") >= 40)))
-    minified = code & (F.col("n") >= 30) & (F.col("name_size") < 3.2) & (F.col("blank") < 0.09)
-    data = code & ((F.col("long") > 0.25) & (F.col("exact") > 0.9) | (F.col("n") >= 30) & (F.col("numbers") > 0.1) & (F.col("keywords") < 0.02))
-    # What a grammar of shapes needs for hand-written code falls with the length of the file, but stays above this.
-    few_rules = (F.col("shaped") <= 0.07 + 2.4 / F.sqrt(F.greatest(F.col("n"), F.lit(1.0)))) & (F.col("covered") > 0.93) & (F.col("n") >= 60)
-    made = code & (F.col("mark") | path.rlike(GENERATED_PATH) | few_rules)
-    kind = F.when(vendored, "vendored").when(minified, "minified").when(made & F.col("mark"), "generated").when(data, "data").when(made, "generated")
-    return m.select("file_id", "slug", "path", kind.alias("kind"), F.col("n").cast("bigint").alias("n_tokens"), "exact", "shaped", "covered", "shared")
+    signs = {k: code & v for k, v in by_grammar().items()}
+    minified = code & (F.col("name_size") + 5 / F.sqrt(1 + F.col("names") * F.col("n")) < 3.6) & (F.col("blank") < 0.09)
+    said = code & (path.rlike(VERSIONED) | F.col("taken") | F.col("foreign"))
+    numbers = (F.col("numbers") > 0.1) & (F.col("keywords") < 0.02) & ~F.col("mark")
+    kind = (
+        F.when(signs["shared"] | path.rlike(VENDOR_DIR) | said, "vendored").when(minified, "minified")
+        .when(signs["blob"] | signs["few_rules"] & numbers, "data").when(signs["few_rules"] | code & (F.col("mark") | path.rlike(GENERATED_PATH)), "generated")
+    )
+    grammar_says = F.when(signs["few_rules"], "few_rules").when(signs["blob"], "blob").when(signs["shared"], "shared")
+    return m.select("file_id", "slug", "path", kind.alias("kind"), grammar_says.alias("grammar"), F.col("n").cast("bigint").alias("n_tokens"), "exact", "shaped", "covered", "shared")
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:

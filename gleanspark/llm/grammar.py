@@ -39,16 +39,17 @@ def _merge(h: np.ndarray, doc: np.ndarray, weight: np.ndarray, at: np.ndarray) -
     return h[keep], doc[keep], weight[keep]
 
 
-def repair(h: np.ndarray, doc: np.ndarray, n_docs: int, rounds: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grammar of each sequence: its length, the size of its grammar (start rule and rules), and symbols covered by rules of 8 and more."""
+def repair(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grammar of each sequence: its length, the size of its grammar (start rule and rules), and symbols covered by rules of 8 and more.
+
+    Rounds go on until no pair of any sequence can be replaced twice.
+    """
     length = np.bincount(doc, minlength=n_docs)
     rules = np.zeros(n_docs, np.int64)
     final = np.zeros(n_docs, np.int64)
     covered = np.zeros(n_docs, np.int64)
     weight = np.ones(len(h), np.int64)
-    for r in range(rounds + 1):
-        if len(h) < 2:
-            break
+    while len(h) > 1:
         pair = mix(h[:-1] * _A + h[1:] * _B)
         same = doc[1:] == doc[:-1]
         own = pair ^ mix(doc[:-1].astype(np.uint64) + np.uint64(1))
@@ -56,7 +57,7 @@ def repair(h: np.ndarray, doc: np.ndarray, n_docs: int, rounds: int = 24) -> tup
         often = np.bincount(codes[same], minlength=len(uniq))[codes]
         often[~same] = 0
         rank = np.where(often >= 2, (np.minimum(often, (1 << 20) - 1).astype(np.uint64) << np.uint64(40)) | (pair >> np.uint64(24)), np.uint64(0))
-        at = _select(rank) if r < rounds else np.empty(0, np.int64)
+        at = _select(rank)
         used = np.bincount(codes[at], minlength=len(uniq))
         at = at[used[codes[at]] >= 2]
         done = np.bincount(doc[at], minlength=n_docs)
@@ -82,7 +83,8 @@ def phrases(h: np.ndarray, doc: np.ndarray, rounds: int = 8) -> tuple[np.ndarray
     """Phrases of each sequence that come out alike wherever the same passage stands: hash, sequence, symbols.
 
     The pairs to replace are ranked by their hashes alone, so two sequences that share a passage replace the
-    same pairs in it and get the same rules, but for a few at its ends.
+    same pairs in it and get the same rules, but for a few at its ends. ``rounds`` sets how long the passages are that are
+    compared (some 25 symbols for 8 rounds); it cuts nothing off, since the phrases of any number of rounds make up the sequence.
     """
     weight = np.ones(len(h), np.int64)
     for r in range(rounds):
