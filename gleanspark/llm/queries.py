@@ -65,6 +65,14 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, d, "documents"), read_table(spark, d, "context_windows"))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_checks(read_table(spark, d, "documents"), read_table(spark, d, "context_windows"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_fill(p7_containers(spark, d)).withColumn("unused_pct", F.round("unused_pct", 6))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(read_table(spark, d, "documents"))
 
@@ -74,7 +82,7 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (p1_token_totals, p1_file_tokens, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_kinds, p5_found, p5_terms, p6_ids, p7_containers, p8_found, p8_canonical)
+    own = (p1_token_totals, p1_file_tokens, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_kinds, p5_found, p5_terms, p6_ids, p7_containers, p7_checks, p7_fill, p8_found, p8_canonical)
     return {f.__name__: f for f in own}
 
 

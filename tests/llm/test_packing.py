@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gleanspark.llm import packing
 
@@ -48,6 +49,36 @@ def test_documents(spark):
     assert packing.pack_documents(docs, windows.limit(0)).count() == 0
 
 
+def test_capacity_is_chosen_by_what_is_left():
+    # two items of 60 fill 120; a third leaves nothing for more than 64
+    assert packing._least_cost(60, [64, 120], [60, 60], 2) == 120
+    assert packing._least_cost(60, [64, 120], [50], 1) == 64
+    assert packing._least_cost(60, [64, 120], [], 0) == 120 and packing._filled(100, [0, 30, 30, 45], 4) == 75
+    sizes = np.random.default_rng(3).lognormal(6, 1, 20_000).astype(np.int64)
+    capacities = [2048, 4096, 8192, 32768]
+    _, _, count, place, final = packing.best_fit(sizes, capacities)
+    assert final.sum() <= 1.002 * sizes.sum()
+    some = np.array([1500, 1400, 1300, 700, 600] * 40)
+    _, _, count, place, final = packing.best_fit(some, [2000, 2048, 5000])
+    assert len(set(final.tolist())) > 1 and final.sum() <= min(packing.best_fit(some, [c])[4].sum() for c in (2000, 2048, 5000))
+
+
+def test_names_of_windows(spark):
+    windows = spark.createDataFrame([("a", 10), ("a", 20), ("joint", 5), (None, 7)], "window_name string, capacity int")
+    assert packing.window_packings(windows) == {"joint:5": [5], "window": [7], "a:10": [10], "a:20": [20], "joint": [5, 7, 10, 20]}
+
+
+def test_checks_find_faults(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c " * i) for i in range(40)], "doc_id long, text string")
+    windows = spark.createDataFrame([("w", 16), ("v", 64)], "window_name string, capacity int")
+    rows = {r.packing: tuple(r)[1:] for r in packing.packing_checks(docs, windows).collect()}
+    assert rows == {k: (40, 0, 0, True) for k in ("w", "v", "joint")}
+    real = packing.pack_documents
+    monkeypatch.setattr(packing, "pack_documents", lambda *a: real(*a).withColumn("container_size", F.lit(1)).withColumn("n_tokens", F.expr("if(doc_id = 7, 0, n_tokens)")))
+    rows = {r.packing: r for r in packing.packing_checks(docs, windows).collect()}
+    assert rows["v"].wrong_documents == 1 and rows["v"].overfull > 0 and not rows["v"].near_bound
+
+
 @pytest.mark.parametrize("capacities", [[256], [256, 512, 2048, 4096]])
 def test_hardly_any_room_is_left(capacities):
     sizes = np.random.default_rng(1).integers(1, 250, 20_000)
