@@ -21,7 +21,7 @@ CODE_EXT = SOURCE_EXT + "|sh|bash|zsh|pl|lua|r|jl|dart|ex|exs|erl|hs|ml|clj|vue|
 SKIP_DIR = "(^|/)(node_modules|[.]git|[.]github|dist|build|out|vendor|[.]next|coverage|__pycache__|test|tests|__tests__|fixtures|examples?)/"
 SKIP_FILE = "(^|/)(CONTRIBUTING|CHANGELOG|CODE_OF_CONDUCT|SECURITY|LICENSE|MIGRATION)[.]md$"
 #: Words that begin a declaration.
-DECLARATION = "^(export[ \t]+)?(async[ \t]+)?(function|class|const|let|var|interface|type|enum|def|struct|impl|fn|func|package|public|private|protected|typedef|template|namespace)([^A-Za-z0-9_]|$)"
+DECLARATION = r"^(export\s+)?(async\s+)?(function|class|const|let|var|interface|type|enum|def|struct|impl|fn|func|package|public|private|protected|typedef|template|namespace)\b"
 #: Suffixes tried for an import, in this order.
 IMPORT_EXT = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py")
 #: The shapes of import statements; the specifier is group 1.
@@ -30,9 +30,19 @@ IMPORT_PATTERNS = (
     r"""\bimport\s*['"]([^'"]+)['"]""",
     r"""\brequire\s*\(\s*['"]([^'"]+)['"]\s*\)""",
     r"""\bexport\s+[^'"]*?from\s*['"]([^'"]+)['"]""",
-    r"""(?m)^\s*from\s+([A-Za-z0-9_.]+)\s+import\b""",
+    r"""(?m)^\s*from\s+([\w.]+)\s+import\b""",
 )
-DEFINED_NAME = r"\b(?:function|class|interface|type|enum|def|struct|fn|func|impl|typedef)\s+([A-Za-z_$][A-Za-z0-9_$]*)|\b(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)"
+#: The names that a keyword defines; the name is group 1 or 2.
+DEFINED_NAME = r"\b(?:function|class|interface|type|enum|def|struct|fn|func|impl|typedef)\s+([A-Za-z_$][\w$]*)|\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)"
+
+#: What counts as white space, within the brackets of a class.
+WHITE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+
+
+def jvm(pattern: str) -> str:
+    r"""A fixed pattern for the JVM, where \s lacks the no-break space and others, and \b counts letters of all scripts as parts of words (up to Java 18)."""
+    word = "[A-Za-z0-9_]"
+    return pattern.replace(r"\s", f"[{WHITE}]").replace(r"\b", f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))")
 
 
 def clean_slug(c: Column) -> Column:
@@ -103,25 +113,25 @@ def structural_definition(line: Column) -> Column:
     tail = F.substring(line, F.length(head) + 1, F.length(line))
     return (
         line.contains("(") & ~tail.contains(";")
-        & head.rlike(r"^[A-Za-z_*][A-Za-z0-9_\s*]*$") & ~head.rlike(r"(^|[\s*])[0-9]") & ~head.rlike(r"[A-Za-z0-9_]\*|\*\s") & head.rlike(r"[\s*][A-Za-z_][A-Za-z0-9_]*\s*$")
+        & head.rlike(rf"^[A-Za-z_*][A-Za-z0-9_*{WHITE}]*$") & ~head.rlike(rf"(^|[*{WHITE}])[0-9]") & ~head.rlike(jvm(r"[A-Za-z0-9_]\*|\*\s")) & head.rlike(rf"[*{WHITE}][A-Za-z_][A-Za-z0-9_]*[{WHITE}]*$")
     )
 
 
 def is_declaration(line: Column) -> Column:
     """Whether a line (not the first of its file) begins a declaration."""
-    body = F.regexp_replace(line, r"^\s+", "")
-    indented = line.rlike(r"^\s")
-    return (F.length(line) > 0) & (body.rlike(DECLARATION) | (~indented & structural_definition(line)))
+    body = F.regexp_replace(line, jvm(r"^\s+"), "")
+    indented = line.rlike(jvm(r"^\s"))
+    return (F.length(line) > 0) & (body.rlike(jvm(DECLARATION)) | (~indented & structural_definition(line)))
 
 
 def import_specifiers(text: Column) -> Column:
     """Different specifiers that a file imports, pattern by pattern."""
-    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in IMPORT_PATTERNS]))
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(jvm(p)), F.lit(1)) for p in IMPORT_PATTERNS]))
 
 
 def keyword_symbols(text: Column) -> Column:
     """Different names that a text defines by a keyword."""
-    one, two = (F.regexp_extract_all(text, F.lit(DEFINED_NAME), F.lit(g)) for g in (1, 2))
+    one, two = (F.regexp_extract_all(text, F.lit(jvm(DEFINED_NAME)), F.lit(g)) for g in (1, 2))
     return F.array_distinct(F.filter(F.zip_with(one, two, lambda a, b: F.when(a != "", a).otherwise(b)), lambda x: x != ""))
 
 
@@ -143,7 +153,7 @@ def import_base(path: Column, spec: Column) -> Column:
     """The path an import points at before suffixes are tried; null for packages."""
     return (
         F.when(spec.startswith("."), normal_path(F.concat(folder(path), F.lit("/"), spec)))
-        .when(spec.startswith("@/"), normal_path(F.concat(F.lit("src/"), F.substring(spec, 3, 1_000_000))))
+        .when(spec.startswith("@/"), normal_path(F.concat(F.lit("src/"), F.substring(spec, 3, F.length(spec)))))
         .when(spec.contains(".") & ~spec.contains("/"), F.replace(spec, F.lit("."), F.lit("/")))
     )
 

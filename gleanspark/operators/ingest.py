@@ -91,7 +91,7 @@ def declaration_lines(files: DataFrame) -> DataFrame:
 
 
 def _blank(c):
-    return ~c.rlike(r"[^\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]")
+    return ~c.rlike(f"[^{X.WHITE}]")
 
 
 def segments(files: DataFrame) -> DataFrame:

@@ -2,11 +2,42 @@
 
 from __future__ import annotations
 
-from gleanspark.functions import text as X
 from gleanspark.operators import ingest, measure
 from gleanspark.operators import retrieval as R
 
 
+# The word lists, extensions and patterns stand here a second time, so that a mistake in the engine's is not one in the SQL too.
+#: Words left out of a question.
+STOP_WORDS = (
+    "how does do the this that what when where why which who is are was were and or but for with from into onto on in at to of it its work works working use used uses get set make made "
+    "can will would should there here than then all any some not you your way doing done"
+).split()
+#: Extensions, folders and files.
+SOURCE_EXT = "ts|tsx|js|jsx|mjs|cjs|py|go|rs|java|rb|php|md|c|h|cc|cpp|cxx|hpp|cu|cuh|cs|kt|swift|scala|m|mm"
+MORE_CODE_EXT = "sh|bash|zsh|pl|lua|r|jl|dart|ex|exs|erl|hs|ml|clj|vue|svelte|sql|proto"
+SKIP_DIR = "(^|/)(node_modules|[.]git|[.]github|dist|build|out|vendor|[.]next|coverage|__pycache__|test|tests|__tests__|fixtures|examples?)/"
+SKIP_FILE = "(^|/)(CONTRIBUTING|CHANGELOG|CODE_OF_CONDUCT|SECURITY|LICENSE|MIGRATION)[.]md$"
+#: Declarations, defined names and imports.
+DECLARATION = r"^(export\s+)?(async\s+)?(function|class|const|let|var|interface|type|enum|def|struct|impl|fn|func|package|public|private|protected|typedef|template|namespace)\b"
+DEFINED_NAME = r"\b(?:function|class|interface|type|enum|def|struct|fn|func|impl|typedef)\s+([A-Za-z_$][\w$]*)|\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)"
+IMPORTS = (
+    r"""\bimport\s+[^'"]*?from\s*['"]([^'"]+)['"]""",
+    r"""\bimport\s*['"]([^'"]+)['"]""",
+    r"""\brequire\s*\(\s*['"]([^'"]+)['"]\s*\)""",
+    r"""\bexport\s+[^'"]*?from\s*['"]([^'"]+)['"]""",
+    r"""(?m)^\s*from\s+([\w.]+)\s+import\b""",
+)
+IMPORT_EXT = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py")
+
+#: White space as the patterns mean it, within the brackets of a class of RE2.
+_WHITE = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
+def _re(pattern: str) -> str:
+    r"""A pattern as a literal for RE2, whose \s is narrower."""
+    return _q(pattern.replace(r"\s", f"[{_WHITE}]"))
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -23,14 +54,14 @@ def _proxy(x: str) -> str:
 
 _SLUG = "lower(trim(slug))"
 _PATH = r"regexp_replace(replace(trim(path), '\', '/'), '^([.]/)+', '')"
-_STOP = ", ".join(_q(w) for w in X.STOP_WORDS)
+_STOP = ", ".join(_q(w) for w in STOP_WORDS)
 _UNITS = r"(length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]')))"
 _EXT = "split_part(path, '.', -1)"
-_BLANK = r"(NOT regexp_matches(line, '[^\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]'))"
+_BLANK = f"(NOT regexp_matches(line, '[^{_WHITE}]'))"
 _HEAD, _TAIL = "split_part(line, '(', 1)", "substr(line, length(split_part(line, '(', 1)) + 1)"
-_STRUCT = rf"""(contains(line, '(') AND NOT contains({_TAIL}, ';') AND regexp_matches({_HEAD}, '^[A-Za-z_*][A-Za-z0-9_\s\x0B*]*$')
-    AND NOT regexp_matches({_HEAD}, '(^|[\s\x0B*])[0-9]') AND NOT regexp_matches({_HEAD}, '[A-Za-z0-9_]\*|\*[\s\x0B]') AND regexp_matches({_HEAD}, '[\s\x0B*][A-Za-z_][A-Za-z0-9_]*[\s\x0B]*$'))"""
-_DECL = rf"""(length(line) > 0 AND (regexp_matches(regexp_replace(line, '^[\s\x0B]+', ''), {_q(X.DECLARATION)}) OR (NOT regexp_matches(line, '^[\s\x0B]') AND {_STRUCT})))"""
+_STRUCT = rf"""(contains(line, '(') AND NOT contains({_TAIL}, ';') AND regexp_matches({_HEAD}, '^[A-Za-z_*][A-Za-z0-9_{_WHITE}*]*$')
+    AND NOT regexp_matches({_HEAD}, '(^|[{_WHITE}*])[0-9]') AND NOT regexp_matches({_HEAD}, '[A-Za-z0-9_]\*|\*[{_WHITE}]') AND regexp_matches({_HEAD}, '[{_WHITE}*][A-Za-z_][A-Za-z0-9_]*[{_WHITE}]*$'))"""
+_DECL = rf"""(length(line) > 0 AND (regexp_matches(regexp_replace(line, '^[{_WHITE}]+', ''), {_re(DECLARATION)}) OR (NOT regexp_matches(line, '^[{_WHITE}]') AND {_STRUCT})))"""
 _LATEST = "QUALIFY row_number() OVER (PARTITION BY {0} ORDER BY indexed_at DESC, coalesce(tokens, -1) DESC) = 1"
 _VARIANT = "unnest(CASE WHEN path LIKE '%.md' THEN ['all'] ELSE ['all', 'code'] END) AS variant"
 _K = "variant, repo_id, question"
@@ -40,8 +71,8 @@ _CTE: list[tuple[str, str]] = [
     ("files0", f"SELECT file_id, {_SLUG} AS repo_id, {_PATH} AS path, file_ord, coalesce(text, '') AS text, indexed_at, tokens FROM repo_files {_LATEST.format('file_id')}"),
     ("files", f"SELECT file_id, repo_id, path, file_ord, text, {_proxy('text')} AS tokens FROM files0"),
     ("fate", f"""SELECT *, {_UNITS} AS units,
-        coalesce(regexp_matches(path, '(?i)[.]({X.CODE_EXT})$') AND NOT regexp_matches(path, '(?i){X.SKIP_DIR}'), false) AS seen,
-        coalesce(regexp_matches(path, '(?i)[.]({X.SOURCE_EXT})$') AND NOT regexp_matches(path, '(?i){X.SKIP_DIR}') AND NOT regexp_matches(path, '(?i){X.SKIP_FILE}') AND {_UNITS} <= {ingest.MAX_FILE_UNITS}, false) AS indexed FROM files"""),
+        coalesce(regexp_matches(path, '(?i)[.]({SOURCE_EXT}|{MORE_CODE_EXT})$') AND NOT regexp_matches(path, '(?i){SKIP_DIR}'), false) AS seen,
+        coalesce(regexp_matches(path, '(?i)[.]({SOURCE_EXT})$') AND NOT regexp_matches(path, '(?i){SKIP_DIR}') AND NOT regexp_matches(path, '(?i){SKIP_FILE}') AND {_UNITS} <= {ingest.MAX_FILE_UNITS}, false) AS indexed FROM files"""),
     ("lines", r"SELECT file_id, path, i - 1 AS ln, l[i] AS line FROM (SELECT file_id, path, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT file_id, path, string_split(text, chr(10)) AS l FROM files))"),
     ("seg0", f"SELECT file_id, path, ln, {_BLANK} AS blank, (ln = 0 OR {_DECL}) AS head FROM lines"),
     ("seg1", "SELECT *, max(CASE WHEN head THEN ln END) OVER (PARTITION BY file_id ORDER BY ln ROWS UNBOUNDED PRECEDING) AS run FROM seg0"),
@@ -50,7 +81,7 @@ _CTE: list[tuple[str, str]] = [
     ("fold0", f"SELECT *, (NOT blank AND (end_line - start_line >= {ingest.MIN_LINES} OR idx = min(CASE WHEN NOT blank THEN idx END) OVER (PARTITION BY file_id))) AS push FROM segments"),
     ("fold1", "SELECT *, sum(push::INT) OVER (PARTITION BY file_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS chunk FROM fold0"),
     ("fold2", f"SELECT file_id, path, chunk, max(CASE WHEN push THEN start_line END) AS s, max(end_line) AS e, max(CASE WHEN push THEN end_line END) AS e0 FROM fold1 WHERE chunk > 0 AND (push OR end_line - start_line < {ingest.MIN_LINES}) GROUP BY ALL"),
-    ("specs", "SELECT DISTINCT repo_id, path, unnest(list_concat(" + ", ".join(f"regexp_extract_all(text, {_q(p)}, 1)" for p in X.IMPORT_PATTERNS) + ")) AS spec FROM files"),
+    ("specs", "SELECT DISTINCT repo_id, path, unnest(list_concat(" + ", ".join(f"regexp_extract_all(text, {_re(p)}, 1)" for p in IMPORTS) + ")) AS spec FROM files"),
     ("chunks0", f"SELECT * FROM chunks {_LATEST.format('chunk_key')}"),
     ("ch", f"""SELECT chunk_key, file_id, {_SLUG} AS repo_id, {_PATH} AS path, chunk_ord, least(start_line, end_line) AS start_line, greatest(start_line, end_line) AS end_line,
         coalesce(text, '') AS text, coalesce(defines, []) AS defines, {_proxy("coalesce(text, '')")} AS tokens FROM chunks0"""),
@@ -80,7 +111,7 @@ _CTE: list[tuple[str, str]] = [
         UNION ALL SELECT raw, todo[2:], CASE WHEN todo[1] = '..' AND len(done) > 0 AND done[-1] <> '..' THEN done[:-2] ELSE list_append(done, todo[1]) END FROM norm WHERE len(todo) > 0"""),
     ("normal", "SELECT raw, CASE WHEN len(done) = 0 THEN '.' ELSE array_to_string(done, '/') || CASE WHEN raw LIKE '%/' THEN '/' ELSE '' END END AS base FROM norm WHERE len(todo) = 0"),
     ("wanted", "SELECT variant, repo_id, src, spec, CASE WHEN relative THEN base ELSE w.raw END AS base FROM wanted1 w LEFT JOIN normal n ON w.raw = n.raw WHERE w.raw IS NOT NULL"),
-    ("tries", "SELECT variant, repo_id, src, spec, c.place AS place, base || c.suffix AS path FROM wanted, (VALUES (0, '')" + "".join(f", ({3 * i + j + 1}, {_q(p + e)})" for i, e in enumerate(X.IMPORT_EXT) for j, p in enumerate(("", "/index", "/__init__"))) + ") c(place, suffix)"),
+    ("tries", "SELECT variant, repo_id, src, spec, c.place AS place, base || c.suffix AS path FROM wanted, (VALUES (0, '')" + "".join(f", ({3 * i + j + 1}, {_q(p + e)})" for i, e in enumerate(IMPORT_EXT) for j, p in enumerate(("", "/index", "/__init__"))) + ") c(place, suffix)"),
     ("edges", "SELECT DISTINCT repo_id, variant, src, dst FROM (SELECT variant, repo_id, src, spec, arg_min(path, place) AS dst FROM tries SEMI JOIN there USING (variant, repo_id, path) GROUP BY ALL) WHERE src <> dst"),
     ("links", "SELECT variant, repo_id, src AS path, dst AS target FROM edges UNION SELECT variant, repo_id, dst, src FROM edges"),
     ("hop1", f"SELECT DISTINCT {_K}, target AS path FROM seeds JOIN links USING (variant, repo_id, path)"),
@@ -134,7 +165,7 @@ _SELECT = {
     "decl_lines": f"SELECT file_id, ln FROM lines WHERE ln > 0 AND {_DECL}",
     "chunk_segments": "SELECT file_id, idx, start_line, end_line, blank FROM segments",
     "chunk_fold": "SELECT f.file_id, f.path, (chunk - 1)::INT AS chunk_ord, f.path || '#' || s || '-' || e0 AS id, s AS start_line, e AS end_line, array_to_string((string_split(text, chr(10)))[s + 1 : e], chr(10)) AS text FROM fold2 JOIN files f USING (file_id)",
-    "defined_symbols": f"SELECT DISTINCT chunk_key, unnest(list_filter(list_concat(regexp_extract_all(text, {_q(X.DEFINED_NAME)}, 1), regexp_extract_all(text, {_q(X.DEFINED_NAME)}, 2)), lambda x: x <> '')) AS symbol FROM ch",
+    "defined_symbols": f"SELECT DISTINCT chunk_key, unnest(list_filter(list_concat(regexp_extract_all(text, {_re(DEFINED_NAME)}, 1), regexp_extract_all(text, {_re(DEFINED_NAME)}, 2)), lambda x: x <> '')) AS symbol FROM ch",
     "tokenize_terms": "SELECT chunk_key, term, count(*) AS tf FROM (SELECT chunk_key, unnest(terms) AS term FROM ct) GROUP BY ALL",
     "query_terms": "SELECT * FROM qt",
     "corpus_stats": "SELECT variant, repo_id, n_chunks, round(avg_len, 6) AS avg_len FROM corpus",

@@ -43,8 +43,8 @@ def test_fixtures_and_sinks(spark, tmp_path):
 
 
 @pytest.mark.parametrize(("body", "message"), [
-    ("{", "valid JSON"), ("[]", "required"), ({"slug": 1, "question": "q"}, "required"), ({"slug": "a/b", "question": "  ", "budget": 500}, "empty"), ({"slug": "a/b", "question": "x" * 501, "budget": 500}, "too long"),
-    ({"slug": "a/b", "question": "q", "budget": 99}, "budget"), ({"slug": "a/b", "question": "q", "budget": "x"}, "budget"), ({"slug": "ab", "question": "q", "budget": 500}, "owner/repo"),
+    ("{", "no JSON"), ("[]", "as text"), ({"slug": 1, "question": "q"}, "as text"), ({"slug": "a/b", "question": "  ", "budget": 500}, "no words"), ({"slug": "a/b", "question": "x" * 501, "budget": 500}, "more than 500"),
+    ({"slug": "a/b", "question": "q", "budget": 99}, "budget"), ({"slug": "a/b", "question": "q", "budget": "x"}, "budget"), ({"slug": "ab", "question": "q", "budget": 500}, "owner/name"),
 ])
 def test_bad_requests(body, message):
     with pytest.raises(A.BadRequest, match=message) as e:
