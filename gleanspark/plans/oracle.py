@@ -29,6 +29,9 @@ IMPORTS = (
 )
 IMPORT_EXT = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py")
 
+#: Fixed value: definitions in the manner of C, over many lines; the name is group 1.
+C_DEFINED_NAME = r"(?m)^(?:[A-Za-z_]\w*\s+|\*)+\**([A-Za-z_]\w*)\s*\([^;]*$"
+
 #: White space as the patterns mean it, within the brackets of a class of RE2.
 _WHITE = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
@@ -59,6 +62,9 @@ _UNITS = r"(length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]'
 _EXT = "split_part(path, '.', -1)"
 _BLANK = f"(NOT regexp_matches(line, '[^{_WHITE}]'))"
 _HEAD, _TAIL = "split_part(line, '(', 1)", "substr(line, length(split_part(line, '(', 1)) + 1)"
+# Lines end at four characters; RE2 knows one.
+_C_NAMES = f"regexp_extract_all(regexp_replace(text, '[\\r\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), {_re(C_DEFINED_NAME)}, 1)"
+_NAMES0 = f"list_concat(list_filter(list_transform(list_zip(regexp_extract_all(text, {_re(DEFINED_NAME)}, 1), regexp_extract_all(text, {_re(DEFINED_NAME)}, 2)), lambda x: CASE WHEN x[1] <> '' THEN x[1] ELSE x[2] END), lambda x: x <> ''), {_C_NAMES})"
 _STRUCT = rf"""(contains(line, '(') AND NOT contains({_TAIL}, ';') AND regexp_matches({_HEAD}, '^[A-Za-z_*][A-Za-z0-9_{_WHITE}*]*$')
     AND NOT regexp_matches({_HEAD}, '(^|[{_WHITE}*])[0-9]') AND NOT regexp_matches({_HEAD}, '[A-Za-z0-9_]\*|\*[{_WHITE}]') AND regexp_matches({_HEAD}, '[{_WHITE}*][A-Za-z_][A-Za-z0-9_]*[{_WHITE}]*$'))"""
 _DECL = rf"""(length(line) > 0 AND (regexp_matches(regexp_replace(line, '^[{_WHITE}]+', ''), {_re(DECLARATION)}) OR (NOT regexp_matches(line, '^[{_WHITE}]') AND {_STRUCT})))"""
@@ -164,8 +170,9 @@ _SELECT = {
     "line_grep": "SELECT file_id, path, ln + 1 AS line, substr(trim(line), 1, 100) AS shown FROM lines WHERE contains(line, 'return')",
     "decl_lines": f"SELECT file_id, ln FROM lines WHERE ln > 0 AND {_DECL}",
     "chunk_segments": "SELECT file_id, idx, start_line, end_line, blank FROM segments",
-    "chunk_fold": "SELECT f.file_id, f.path, (chunk - 1)::INT AS chunk_ord, f.path || '#' || s || '-' || e0 AS id, s AS start_line, e AS end_line, array_to_string((string_split(text, chr(10)))[s + 1 : e], chr(10)) AS text FROM fold2 JOIN files f USING (file_id)",
-    "defined_symbols": f"SELECT DISTINCT chunk_key, unnest(list_filter(list_concat(regexp_extract_all(text, {_re(DEFINED_NAME)}, 1), regexp_extract_all(text, {_re(DEFINED_NAME)}, 2)), lambda x: x <> '')) AS symbol FROM ch",
+    "chunk_fold": f"""SELECT * EXCLUDE (d), array_to_string(list_filter(d, lambda x, i: list_position(d, x) = i), ' ') AS defines FROM (SELECT *, {_NAMES0} AS d FROM (
+        SELECT f.file_id, f.path, (chunk - 1)::INT AS chunk_ord, f.path || '#' || s || '-' || e0 AS id, s AS start_line, e AS end_line, array_to_string((string_split(text, chr(10)))[s + 1 : e], chr(10)) AS text FROM fold2 JOIN files f USING (file_id)))""",
+    "defined_symbols": f"SELECT DISTINCT chunk_key, unnest({_NAMES0}) AS symbol FROM ch",
     "tokenize_terms": "SELECT chunk_key, term, count(*) AS tf FROM (SELECT chunk_key, unnest(terms) AS term FROM ct) GROUP BY ALL",
     "query_terms": "SELECT * FROM qt",
     "corpus_stats": "SELECT variant, repo_id, n_chunks, round(avg_len, 6) AS avg_len FROM corpus",

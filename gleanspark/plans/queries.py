@@ -53,7 +53,7 @@ QUERIES = {
     "line_grep": lambda s, d: ingest.line_grep(_files(s, d), "return"),
     "decl_lines": lambda s, d: ingest.declaration_lines(_files(s, d)),
     "chunk_segments": lambda s, d: ingest.segments(_files(s, d)).select("file_id", "idx", "start_line", "end_line", "blank"),
-    "chunk_fold": lambda s, d: ingest.chunk_files(_files(s, d)),
+    "chunk_fold": lambda s, d: ingest.chunk_files(_files(s, d)).withColumn("defines", F.array_join("defines", " ")),
     "defined_symbols": lambda s, d: with_defines(_chunks(s, d)).select("chunk_key", F.explode("defines").alias("symbol")),
     "tokenize_terms": lambda s, d: _chunks(s, d).select("chunk_key", F.explode(X.terms(F.col("text"))).alias("term")).groupBy("chunk_key", "term").agg(F.count("*").alias("tf")),
     "query_terms": lambda s, d: _retrieval(s, d).question_terms,
