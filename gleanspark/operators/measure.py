@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanspark.functions import text as X
+from gleanspark.session import cut_lineage
 
 from . import ingest
 from .retrieval import KEY, Retrieval, covers
@@ -17,6 +18,9 @@ from .retrieval import KEY, Retrieval, covers
 BUDGETS = (1000, 4000, 8000, 16000, 32000)
 SEARCH_STEP = 64
 
+#: Parts into which a repository's files are dealt where they meet something of the repository's.
+SALT = 16
+
 
 def anchor_depth(r: Retrieval, anchors: DataFrame) -> DataFrame:
     """Key, path, line, depth: the tokens of the shortest prefix of the order that holds an anchor; null if none does."""
@@ -97,18 +101,67 @@ def grep_hits(r: Retrieval, variant: str = "all") -> DataFrame:
     """repo_id, question, term_pos, term, path, tokens: files that hold a question's term anywhere, by any case.
 
     A file meets the different terms asked of its repository as one row, so its text is never copied per term;
-    the terms it holds then meet their questions.
+    the terms it holds then meet their questions. The terms are written first, so Spark knows their size and broadcasts them if they
+    are small; else a repository's files are dealt into ``SALT`` parts and its terms given to each.
     """
     asked = r.question_terms.where(F.length("term") > 3)
     files = r.files if variant == "all" else r.files.where("path NOT LIKE '%.md'")
-    wanted = asked.groupBy("repo_id").agg(F.collect_set("term").alias("terms"))
-    held = files.join(wanted, "repo_id").withColumn("low", F.lower("text")).select("repo_id", "path", "tokens", F.expr("explode(filter(terms, t -> contains(low, t)))").alias("term"))
+    wanted = cut_lineage(asked.groupBy("repo_id").agg(F.collect_set("term").alias("terms")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))))
+    held = files.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALT)).cast("int")).join(wanted, ["repo_id", "salt"]).withColumn("low", F.lower("text")).select("repo_id", "path", "tokens", F.expr("explode(filter(terms, t -> contains(low, t)))").alias("term"))
     return held.join(asked, ["repo_id", "term"]).select("repo_id", "question", "term_pos", "term", "path", "tokens")
 
 
 def grep_baseline(r: Retrieval, variant: str = "all") -> DataFrame:
     """repo_id, question, naive_files, naive_tokens (any term), best_term, best_files, best_tokens (the rarest term)."""
-    hits = grep_hits(r, variant)
+    return _grep_baseline(r, grep_hits(r, variant))
+
+
+def best_files(r: Retrieval, variant: str = "all") -> DataFrame:
+    """repo_id, question, path of the files that the rarest term reaches."""
+    hits = cut_lineage(grep_hits(r, variant))
+    best = _grep_baseline(r, hits).select("repo_id", "question", F.col("best_term").alias("term"))
+    return hits.join(best, ["repo_id", "question", "term"]).select("repo_id", "question", "path")
+
+
+def token_cost(r: Retrieval, budget: int) -> DataFrame:
+    """repo_id, question, all_tokens, best_term, grep_tokens, selected_tokens: what a question costs by the whole repository, by the rarest term and by selection."""
+    grep = grep_baseline(r).select("repo_id", "question", "best_term", F.col("best_tokens").alias("grep_tokens"))
+    chosen = r.report(budget).where("variant = 'all'").select("repo_id", "question", F.col("naive_tokens").alias("all_tokens"), "selected_tokens")
+    return chosen.join(grep, ["repo_id", "question"]).select("repo_id", "question", "all_tokens", "best_term", "grep_tokens", "selected_tokens")
+
+
+def grep_ratio(r: Retrieval, depths: DataFrame, minimum: DataFrame, budget: int) -> DataFrame:
+    """variant, repo_id, question, ratio, at_minimum, withheld, bound_tokens: the advantage over the rarest term, or why none is given.
+
+    The ratio divides by the tokens of the minimum where one was found, else by those selected at ``budget``. It is withheld where
+    nothing was selected, where no anchors are known, and where not all of them were retrieved. Where no anchors are known, bound_tokens
+    is the saturation of the selection, an upper bound of what it can need.
+    """
+    full = recall(depths, (budget,)).select(*KEY, "pct")
+    rows = r.report(budget).select(*KEY, "selected_tokens", "saturation_tokens").join(full, KEY, "left").join(minimum.select(*KEY, "found", "tokens_used"), KEY, "left")
+    hits = reduce(DataFrame.unionByName, [grep_baseline(r, v).select(F.lit(v).alias("variant"), "repo_id", "question", "best_tokens") for v in ("all", "code")])
+    rows = rows.join(hits, KEY)
+    at = F.coalesce(F.col("found") & (F.col("tokens_used") > 0), F.lit(False))
+    why = F.when(at, F.lit(None).cast("string")).when(F.col("selected_tokens") == 0, "nothing selected").when(F.col("pct").isNull(), "no anchors").when(F.col("pct") < 100, "not retrieved")
+    ratio = F.when(why.isNull(), F.try_divide(F.col("best_tokens") * 1.0, F.when(at, F.col("tokens_used")).otherwise(F.col("selected_tokens"))))
+    return rows.select(*KEY, ratio.alias("ratio"), at.alias("at_minimum"), why.alias("withheld"), F.when(F.col("pct").isNull(), F.col("saturation_tokens")).alias("bound_tokens"))
+
+
+def anchors_of_marked(marked: DataFrame) -> DataFrame:
+    """repo_id, question, path, line: the anchor that marking a chunk sets, on its first line, which counts from 1."""
+    return marked.select("repo_id", "question", "path", (F.col("start_line") + 1).cast("bigint").alias("line"))
+
+
+def dense_against_selector(minimum: DataFrame, dense: DataFrame) -> DataFrame:
+    """repo_id, question, selector_tokens, dense_tokens, winner: which ranking needs fewer tokens for all anchors; null where neither reaches them."""
+    mine = minimum.where("variant = 'all'").select("repo_id", "question", F.col("tokens_used").alias("selector_tokens"))
+    both = mine.join(dense.select("repo_id", "question", F.col("min_tokens").alias("dense_tokens")), ["repo_id", "question"])
+    a, b = F.col("selector_tokens"), F.col("dense_tokens")
+    winner = F.when(a.isNull() & b.isNull(), None).when(b.isNull() | (a < b), "selector").when(a.isNull() | (b < a), "dense").otherwise("tie")
+    return both.withColumn("winner", winner)
+
+
+def _grep_baseline(r: Retrieval, hits: DataFrame) -> DataFrame:
     union = hits.select("repo_id", "question", "path", "tokens").distinct().groupBy("repo_id", "question").agg(F.count("*").alias("naive_files"), F.sum("tokens").alias("naive_tokens"))
     per = hits.groupBy("repo_id", "question", "term", "term_pos").agg(F.count("*").alias("n"), F.sum("tokens").alias("best_tokens"))
     place = F.row_number().over(Window.partitionBy("repo_id", "question").orderBy("n", "term_pos"))
@@ -120,8 +173,7 @@ def grep_baseline(r: Retrieval, variant: str = "all") -> DataFrame:
 def missed_by_grep(r: Retrieval, budget: int) -> DataFrame:
     """Key, path: files that the selection reached and the rarest term does not."""
     chosen = r.packed(budget).where("kept AND variant = 'all'").select("repo_id", "question", "path").distinct()
-    best = grep_hits(r).join(grep_baseline(r).select("repo_id", "question", F.col("best_term").alias("term")), ["repo_id", "question", "term"]).select("repo_id", "question", "path")
-    return chosen.join(best, ["repo_id", "question", "path"], "left_anti")
+    return chosen.join(best_files(r), ["repo_id", "question", "path"], "left_anti")
 
 
 def markdown_effect(minimum: DataFrame) -> DataFrame:
@@ -169,14 +221,23 @@ def symbols_by_ext(chunks: DataFrame, top: int = 4) -> DataFrame:
 
 
 def repo_listing(repos: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """repo_id, question, note (of the latest indexing), n_files, n_chunks, tokens, code_tokens, place by tokens."""
+    """repo_id, question, note (of the latest indexing), n_files, n_chunks, tokens, code_tokens, place: the smallest first, of equals by name.
+
+    The place is found without sorting all repositories in one task: those of fewer tokens are counted per number of tokens.
+    """
     order = F.struct("indexed_at", F.coalesce("question", F.lit("")), F.coalesce("note", F.lit("")))
     last = repos.where(F.col("slug").isNotNull()).groupBy(X.clean_slug(F.col("slug")).alias("repo_id")).agg(F.max_by(F.struct("question", "note"), order).alias("r")).select("repo_id", "r.question", "r.note")
     code = F.when(F.col("path").endswith(".md"), 0).otherwise(F.col("tokens"))
     f = files.groupBy("repo_id").agg(F.count("*").alias("n_files"), F.sum("tokens").alias("tokens"), F.sum(code).alias("code_tokens"))
     c = chunks.groupBy("repo_id").agg(F.count("*").alias("n_chunks"))
     zero = lambda n: F.coalesce(n, F.lit(0)).alias(n)
-    return last.join(f, "repo_id", "left").join(c, "repo_id", "left").select("repo_id", "question", "note", zero("n_files"), zero("n_chunks"), zero("tokens"), zero("code_tokens"))
+    listed = cut_lineage(last.join(f, "repo_id", "left").join(c, "repo_id", "left").select("repo_id", "question", "note", zero("n_files"), zero("n_chunks"), zero("tokens"), zero("code_tokens")))
+    # Ranges of tokens, sixteen an octave: few, whatever the number of repositories.
+    ranged = listed.withColumn("range", F.floor(F.log2(F.col("tokens") + 1) * 16).cast("int"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    start = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    inside = ranged.withColumn("n1", F.row_number().over(Window.partitionBy("range").orderBy("tokens", "repo_id")))
+    return inside.join(start, "range").withColumn("place", F.col("n0") + F.col("n1")).drop("range", "n0", "n1")
 
 
 def landing_repo(listing: DataFrame, least: int = 8000) -> DataFrame:

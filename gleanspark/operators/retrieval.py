@@ -7,7 +7,7 @@ job. Ties break by (file_id, chunk_ord, chunk_key), which stands for archive ord
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +46,23 @@ def covers(chunk_from: str = "start_line", chunk_to: str = "end_line") -> Column
     return (F.col(chunk_from) <= F.col("line") - 1) & (F.col("line") - 1 < F.col(chunk_to))
 
 
+def running_totals(rows: DataFrame) -> DataFrame:
+    """Adds pos and cum, the place and the running sum of tokens in each key's order: tier, density, tie, place in the archive.
+
+    A key may have a great part of all rows, so none is sorted whole. Rows are dealt into ranges of density (eight an octave, so a few
+    hundred a key at most), which are summed before they move; each range is ordered on its own and starts from the sums of those before it.
+    """
+    octave = F.log2(F.greatest(F.col("density"), F.lit(1e-30)))
+    rows = rows.withColumn("range", F.when(F.col("density") == float("inf"), F.lit(-10_000)).otherwise(F.floor(octave * -8)).cast("int"))
+    before = Window.partitionBy(*KEY).orderBy("tier", "range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*KEY, "tier", "range").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
+    start = sums.select(*KEY, "tier", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"))
+    w = Window.partitionBy(*KEY, "tier", "range").orderBy(F.desc("density"), F.desc("tie"), *PLACE)
+    inside = rows.withColumns({"n1": F.row_number().over(w), "t1": F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    met = inside.join(start, [*KEY, "tier", "range"]).withColumns({"pos": F.col("n0") + F.col("n1"), "cum": F.col("t0") + F.col("t1")})
+    return cut_lineage(met.drop("worth", "tie", "range", "n0", "t0", "n1", "t1"))
+
+
 @dataclass
 class Retrieval:
     """The stages of answering ``questions`` from ``chunks``, each a DataFrame; what several stages read is written once when first used."""
@@ -88,7 +105,9 @@ class Retrieval:
     @cached_property
     def scored(self) -> DataFrame:
         """Every chunk that has a question's term, with its score and the terms it has in question order."""
-        rows = ingest.variants(self.postings).join(self.document_frequency, ["variant", "repo_id", "term"]).join(self.corpus, ["variant", "repo_id"])
+        # A repository's figures are joined to its terms, never to its chunks, so that no join has the repository alone as key.
+        facts = self.document_frequency.join(self.corpus, ["variant", "repo_id"])
+        rows = ingest.variants(self.postings).join(facts, ["variant", "repo_id", "term"])
         rows = rows.join(self.lengths.select("chunk_key", "len"), "chunk_key").join(self.question_terms, ["repo_id", "term"])
         n, df, tf = F.col("n_chunks"), F.col("df"), F.col("tf")
         idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
@@ -139,22 +158,22 @@ class Retrieval:
         near = self.hops.join(weakest, KEY)
         facts = ingest.variants(self.tokenized.select("chunk_key", "repo_id", "file_id", "chunk_ord", "path", "start_line", "end_line", "tokens"))
         reached = facts.join(near, ["variant", "repo_id", "path"]).join(self.direct.select(*KEY, "chunk_key"), [*KEY, "chunk_key"], "left_anti")
-        weight = F.lit(SIBLING_WEIGHT) * F.pow(F.lit(HOP_DECAY), F.col("hop"))
-        return reached.withColumn("score", F.col("weakest") * weight).drop("weakest")
+        # Weights are numbers of the plan: powers taken by another library could differ in the last bit and part equal densities.
+        weight = reduce(lambda w, h: w.when(F.col("hop") == h, SIBLING_WEIGHT * HOP_DECAY**h), (1, 2), F.when(F.col("hop") == 0, SIBLING_WEIGHT))
+        return reached.withColumns({"score": F.col("weakest") * weight, "weight": weight}).drop("weakest")
 
     @cached_property
     def ordered(self) -> DataFrame:
         """Both tiers in the one order that does not depend on a budget, with the running sum of tokens."""
-        cols = [*KEY, "chunk_key", "file_id", "chunk_ord", "path", "start_line", "end_line", "tokens", "score", "hop", "tier", "tie", "reason"]
+        cols = [*KEY, "chunk_key", "file_id", "chunk_ord", "path", "start_line", "end_line", "tokens", "score", "hop", "tier", "worth", "tie", "reason"]
         some = F.array_join(F.slice("matched", 1, 3), ", ")
-        first = self.direct.select("*", F.lit(0).alias("hop"), F.lit(0).alias("tier"), F.col("score").alias("tie"), F.concat(F.lit("matched: "), some).alias("reason")).select(*cols)
+        first = self.direct.select("*", F.lit(0).alias("hop"), F.lit(0).alias("tier"), F.col("score").alias("worth"), F.col("score").alias("tie"), F.concat(F.lit("matched: "), some).alias("reason")).select(*cols)
         how = F.when(F.col("hop") == 0, "same file as a match").when(F.col("hop") == 1, "imported by / imports a match").otherwise(F.concat(F.col("hop"), F.lit(" hops from a match")))
-        then = self.expansion.select("*", F.lit(1).alias("tier"), F.lit(0.0).alias("tie"), how.alias("reason")).select(*cols)
-        # Per token; a chunk without tokens is worth the most, as a division by zero would say.
-        density = F.coalesce(F.try_divide(F.col("score"), F.col("tokens")), F.lit(float("inf")))
-        w = Window.partitionBy(*KEY).orderBy("tier", F.desc("density"), F.desc("tie"), *PLACE)
-        both = first.unionByName(then).withColumn("density", density)
-        return cut_lineage(both.select("*", F.row_number().over(w).alias("pos"), F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum")).drop("tie"))
+        then = self.expansion.select("*", F.lit(1).alias("tier"), F.col("weight").alias("worth"), F.lit(0.0).alias("tie"), how.alias("reason")).select(*cols)
+        # Per token; a chunk without tokens is worth the most, as a division by zero would say. The weakest score is a factor of all of a key's
+        # expansion, so it is left out of their order, where it could only part equals by its rounding.
+        density = F.coalesce(F.try_divide(F.col("worth"), F.col("tokens")), F.lit(float("inf")))
+        return running_totals(cut_lineage(first.unionByName(then).withColumn("density", density)))
 
     def packed(self, budget: int | Column) -> DataFrame:
         """The order with ``kept``: the longest prefix whose tokens fit; it stops at the first miss."""

@@ -124,11 +124,11 @@ _CTE: list[tuple[str, str]] = [
     ("hop2", f"SELECT DISTINCT {_K}, target AS path FROM hop1 JOIN links USING (variant, repo_id, path)"),
     ("hops", f"SELECT {_K}, path, min(hop) AS hop FROM (SELECT {_K}, path, 0 AS hop FROM seeds UNION ALL SELECT {_K}, path, 1 FROM hop1 UNION ALL SELECT {_K}, path, 2 FROM hop2) GROUP BY ALL"),
     ("weakest", f"SELECT {_K}, min(score) AS weakest FROM direct GROUP BY ALL"),
-    ("expansion", f"""SELECT {_K}, chunk_key, file_id, chunk_ord, path, start_line, end_line, tokens, hop, weakest * ({R.SIBLING_WEIGHT}::DOUBLE * pow({R.HOP_DECAY}::DOUBLE, hop)) AS score
+    ("expansion", f"""SELECT {_K}, chunk_key, file_id, chunk_ord, path, start_line, end_line, tokens, hop, {R.SIBLING_WEIGHT}::DOUBLE * pow({R.HOP_DECAY}::DOUBLE, hop) AS weight, weakest * ({R.SIBLING_WEIGHT}::DOUBLE * pow({R.HOP_DECAY}::DOUBLE, hop)) AS score
         FROM (SELECT *, {_VARIANT} FROM ch) JOIN hops USING (variant, repo_id, path) JOIN weakest USING ({_K}) ANTI JOIN direct USING ({_K}, chunk_key)"""),
-    ("tiers", f"""SELECT {_K}, chunk_key, file_id, chunk_ord, path, start_line, end_line, tokens, score, 0 AS hop, 0 AS tier, score AS tie, 'matched: ' || array_to_string(matched[1:3], ', ') AS reason FROM direct
-        UNION ALL SELECT {_K}, chunk_key, file_id, chunk_ord, path, start_line, end_line, tokens, score, hop, 1, 0, CASE hop WHEN 0 THEN 'same file as a match' WHEN 1 THEN 'imported by / imports a match' ELSE hop || ' hops from a match' END FROM expansion"""),
-    ("ordered0", "SELECT *, CASE WHEN tokens = 0 THEN 'infinity'::DOUBLE ELSE score / tokens END AS density FROM tiers"),
+    ("tiers", f"""SELECT {_K}, chunk_key, file_id, chunk_ord, path, start_line, end_line, tokens, score, 0 AS hop, 0 AS tier, score AS worth, score AS tie, 'matched: ' || array_to_string(matched[1:3], ', ') AS reason FROM direct
+        UNION ALL SELECT {_K}, chunk_key, file_id, chunk_ord, path, start_line, end_line, tokens, score, hop, 1, weight, 0, CASE hop WHEN 0 THEN 'same file as a match' WHEN 1 THEN 'imported by / imports a match' ELSE hop || ' hops from a match' END FROM expansion"""),
+    ("ordered0", "SELECT *, CASE WHEN tokens = 0 THEN 'infinity'::DOUBLE ELSE worth / tokens END AS density FROM tiers"),
     ("ordered", f"""SELECT *, row_number() OVER w AS pos, (sum(tokens) OVER (PARTITION BY {_K} ORDER BY tier, density DESC, tie DESC, file_id, chunk_ord, chunk_key ROWS UNBOUNDED PRECEDING))::BIGINT AS cum
         FROM ordered0 WINDOW w AS (PARTITION BY {_K} ORDER BY tier, density DESC, tie DESC, file_id, chunk_ord, chunk_key)"""),
     ("totals", f"""SELECT variant, repo_id, naive_tokens, n_files, coalesce(n_chunks, 0) AS n_chunks FROM (SELECT variant, repo_id, sum(tokens)::BIGINT AS naive_tokens, count(*) AS n_files FROM (SELECT *, {_VARIANT} FROM files) GROUP BY ALL)
@@ -151,6 +151,20 @@ _CTE: list[tuple[str, str]] = [
     ("grep", """SELECT repo_id, question, coalesce(naive_files, 0) AS naive_files, coalesce(naive_tokens, 0) AS naive_tokens, best_term, coalesce(best_files, 0) AS best_files, coalesce(best_tokens, 0) AS best_tokens
         FROM qs LEFT JOIN gunion USING (repo_id, question) LEFT JOIN gbest USING (repo_id, question)"""),
     ("rec", f"""SELECT {_K}, budget::INT AS budget, count(*) FILTER (depth <= budget) AS found, count(*) AS total FROM depth, (SELECT unnest([{', '.join(map(str, measure.BUDGETS))}]) AS budget) GROUP BY ALL"""),
+    ("held", f"""SELECT {_K}, a.path, line, budget, coalesce(depth <= budget, false) AS held FROM depth a JOIN (SELECT variant, repo_id, naive_tokens FROM totals) USING (variant, repo_id), (SELECT unnest([{', '.join(map(str, measure.BUDGETS))}]) AS budget) WHERE budget <= naive_tokens"""),
+    ("steps", "SELECT unnest([200, 270, 365, 493, 666, 900, 1215, 1641, 2216, 2992, 4040, 5454, 7363, 9941, 13421, 18119, 24461, 33023, 44582, 60186, 81252, 109691]) AS budget"),
+    ("held22", f"SELECT {_K}, a.path, line, budget, coalesce(depth <= budget, false) AS held FROM depth a JOIN (SELECT variant, repo_id, naive_tokens FROM totals) USING (variant, repo_id), steps WHERE budget <= naive_tokens"),
+    ("gbestv", """SELECT 'all' AS variant, repo_id, question, best_tokens AS bt FROM gbest UNION ALL SELECT 'code', repo_id, question, bt FROM (SELECT repo_id, question, term, term_pos, count(*) AS n, sum(tokens)::BIGINT AS bt FROM ghits WHERE path NOT LIKE '%.md' GROUP BY ALL)
+        QUALIFY row_number() OVER (PARTITION BY repo_id, question ORDER BY n, term_pos) = 1"""),
+    ("dvec", "SELECT vec_id, embedding::DOUBLE[] AS e, max(vec_id) OVER () + 1 AS nv FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL"),
+    ("dasked", "SELECT repo_id, question, e AS qe FROM qs JOIN dvec ON length(question) % nv = vec_id"),
+    ("drows", """SELECT repo_id, question, path, start_line, end_line, coalesce(tokens, 0) AS tokens, row_number() OVER w AS rank, sum(coalesce(tokens, 0)) OVER (w ROWS UNBOUNDED PRECEDING) AS s
+        FROM (SELECT *, list_dot_product(qe, e) AS dot FROM ch JOIN dvec ON chunk_key % nv = vec_id JOIN dasked USING (repo_id)) WINDOW w AS (PARTITION BY repo_id, question ORDER BY dot DESC, file_id, chunk_ord, chunk_key)"""),
+    ("dfirst", """SELECT a.repo_id, a.question, a.path, a.line, min(rank)::BIGINT AS rank, min(s) AS s FROM (SELECT * FROM anch SEMI JOIN dasked USING (repo_id, question)) a
+        LEFT JOIN drows o ON a.repo_id = o.repo_id AND a.question = o.question AND a.path = o.path AND o.start_line <= a.line - 1 AND a.line - 1 < o.end_line GROUP BY ALL"""),
+    ("dranks", "SELECT repo_id, question, path, line, rank FROM dfirst"),
+    ("dsums", "SELECT repo_id, question, bool_and(rank IS NOT NULL) AS reached, max(s) AS s FROM dfirst GROUP BY ALL"),
+    ("dtop", "SELECT repo_id, question, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS top_paths FROM (SELECT repo_id, question, list(path ORDER BY rank) AS l FROM drows WHERE rank <= 5 GROUP BY ALL)"),
     ("against", """SELECT m.repo_id, m.question, m.found, t.naive_tokens, coalesce(m.tokens_used, t.naive_tokens) AS tokens, g.best_tokens AS grep_tokens, g.best_tokens / nullif(coalesce(m.tokens_used, t.naive_tokens), 0)::DOUBLE AS ratio, g.best_tokens / nullif(t.naive_tokens, 0)::DOUBLE AS share
         FROM minimum m JOIN totals t ON m.repo_id = t.repo_id AND t.variant = 'all' JOIN grep g ON m.repo_id = g.repo_id AND m.question = g.question WHERE m.variant = 'all'"""),
     ("listing", f"""SELECT repo_id, question, note, coalesce(n_files, 0) AS n_files, coalesce(n_chunks, 0) AS n_chunks, coalesce(tokens, 0) AS tokens, coalesce(code_tokens, 0) AS code_tokens
@@ -198,6 +212,21 @@ _SELECT = {
     "anchor_depth": "SELECT * FROM depth",
     "recall": "SELECT *, round(found * 100.0::DOUBLE / total, 6) AS pct FROM rec",
     "budget_sweep": "SELECT variant, budget, round(avg(found * 100.0::DOUBLE / total), 6) AS mean_pct, count(*) AS n_questions FROM rec SEMI JOIN (SELECT * FROM qs WHERE quarantined IS NULL) q USING (repo_id, question) GROUP BY variant, budget",
+    "packing_found": f"SELECT {_K}, budget::INT AS budget, count(*) FILTER (held) AS found FROM held GROUP BY ALL",
+    "monotone_check": f"""SELECT {_K}, budget::INT AS budget, found, before FROM (SELECT *, lag(found) OVER (PARTITION BY {_K} ORDER BY budget) AS before FROM (SELECT {_K}, budget, count(*) FILTER (held) AS found FROM held22 GROUP BY ALL)) WHERE found < before""",
+    "token_cost": """SELECT repo_id, question, naive_tokens AS all_tokens, best_term, best_tokens AS grep_tokens, coalesce(u, 0)::BIGINT AS selected_tokens FROM (SELECT * FROM totals WHERE variant = 'all') JOIN qs USING (repo_id) JOIN (SELECT repo_id, question, best_term, best_tokens FROM grep) USING (repo_id, question)
+        LEFT JOIN (SELECT repo_id, question, sum(tokens) AS u FROM ordered WHERE variant = 'all' AND cum <= 8000 GROUP BY ALL) USING (repo_id, question)""",
+    "best_files": "SELECT g.repo_id, g.question, g.path FROM ghits g JOIN gbest b ON g.repo_id = b.repo_id AND g.question = b.question AND g.term = b.best_term",
+    "grep_ratio": f"""SELECT {_K}, CASE WHEN why IS NULL THEN round(bt / nullif(CASE WHEN at_min THEN tokens_used ELSE sel END, 0)::DOUBLE, 6) END AS ratio, at_min AS at_minimum, why AS withheld, CASE WHEN pct IS NULL THEN sat END AS bound_tokens FROM (
+        SELECT *, CASE WHEN at_min THEN NULL WHEN sel = 0 THEN 'nothing selected' WHEN pct IS NULL THEN 'no anchors' WHEN pct < 100 THEN 'not retrieved' END AS why FROM (
+            SELECT {_K}, coalesce(u, 0) AS sel, coalesce(saturation_tokens, 0) AS sat, pct, tokens_used, coalesce(found AND tokens_used > 0, false) AS at_min, coalesce(bt, 0) AS bt FROM totals JOIN qs USING (repo_id)
+            LEFT JOIN (SELECT {_K}, sum(tokens)::BIGINT AS u FROM ordered WHERE cum <= 8000 GROUP BY ALL) USING ({_K}) LEFT JOIN satur USING ({_K}) LEFT JOIN (SELECT {_K}, found, tokens_used FROM minimum) USING ({_K})
+            LEFT JOIN (SELECT {_K}, found * 100.0::DOUBLE / total AS pct FROM rec WHERE budget = 8000) USING ({_K}) LEFT JOIN gbestv USING ({_K})))""",
+    "dense_ranks": "SELECT * FROM dranks",
+    "dense_minimum": """SELECT repo_id, question, coalesce(reached, true) AS reached, CASE WHEN coalesce(reached, true) THEN coalesce(s, 0)::BIGINT END AS min_tokens, coalesce(top_paths, '') AS top_paths FROM dasked
+        LEFT JOIN dsums USING (repo_id, question) LEFT JOIN dtop USING (repo_id, question)""",
+    "dense_against_selector": """SELECT repo_id, question, a AS selector_tokens, b AS dense_tokens, CASE WHEN a IS NULL AND b IS NULL THEN NULL WHEN b IS NULL OR a < b THEN 'selector' WHEN a IS NULL OR b < a THEN 'dense' ELSE 'tie' END AS winner FROM (
+        SELECT repo_id, question, m.tokens_used AS a, CASE WHEN coalesce(reached, true) THEN coalesce(s, 0)::BIGINT END AS b FROM (SELECT * FROM minimum WHERE variant = 'all') m JOIN dasked USING (repo_id, question) LEFT JOIN dsums USING (repo_id, question))""",
     "minimum_budget": "SELECT * FROM minimum",
     "markdown_effect": """SELECT repo_id, question, a.tokens_used AS with_md, c.tokens_used AS code_only, round((a.tokens_used - c.tokens_used) * 100.0::DOUBLE / nullif(a.tokens_used, 0), 6) AS change_pct,
         CASE WHEN a.tokens_used IS NULL AND c.tokens_used IS NOT NULL THEN 'NOW FOUND' WHEN a.tokens_used IS NOT NULL AND c.tokens_used IS NULL THEN 'NOW LOST' ELSE '-' END AS verdict
@@ -209,18 +238,42 @@ _SELECT = {
     "chunk_quality": f"""SELECT repo_id, count(*) AS n, list_sort(list(size))[(count(*) // 2) + 1] AS upper_median_lines, round(count(*) FILTER (size = {ingest.MAX_LINES}) * 100.0::DOUBLE / count(*), 6) AS pct_forced, round(count(*) FILTER (len(defines) > 0) * 100.0::DOUBLE / count(*), 6) AS pct_with_symbol
         FROM (SELECT *, (end_line - start_line)::BIGINT AS size FROM ch WHERE start_line IS NOT NULL AND end_line IS NOT NULL) GROUP BY repo_id""",
     "symbols_by_ext": f"SELECT repo_id, {_EXT} AS ext, count(*) AS n, round(count(*) FILTER (len(defines) > 0) * 100.0::DOUBLE / count(*), 6) AS pct_with_symbol, row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, {_EXT}) AS place FROM ch GROUP BY repo_id, {_EXT} QUALIFY place <= 4",
-    "repo_listing": "SELECT * FROM listing",
+    "repo_listing": "SELECT *, row_number() OVER (ORDER BY tokens, repo_id) AS place FROM listing",
     "landing_repo": "SELECT repo_id, tokens FROM listing ORDER BY (tokens <= 8000)::INT, tokens, repo_id LIMIT 1",
     "markdown_share": "SELECT repo_id, sum(tokens)::BIGINT AS tokens, round(coalesce(sum(CASE WHEN path LIKE '%.md' THEN tokens ELSE 0 END) * 100.0::DOUBLE / nullif(sum(tokens), 0), 0), 6) AS markdown_pct FROM files GROUP BY repo_id",
 }
 
 
-def _needed(text: str) -> list[tuple[str, str]]:
+_LPATH = """CASE WHEN file_id % 9 = 8 THEN CASE WHEN file_id % 2 = 0 THEN 'src/m' || file_id || '.sh' ELSE 'src/m' || file_id || '/CHANGELOG.md' END
+    ELSE CASE file_id % 5 WHEN 0 THEN 'src/m' || file_id || '.ts' WHEN 1 THEN 'src/m' || file_id || '/index.js' WHEN 2 THEN 'src/m' || file_id || '/__init__.py' WHEN 3 THEN 'src/deep/m' || file_id || '.mjs' ELSE 'src/m' || file_id || '.md' END END"""
+_LKIND = "(((file_id - 20) % 5 + 5) % 5)"
+_LTHERE = f"CASE {_LKIND} WHEN 3 THEN 'deep/m' || (file_id - 20) WHEN 4 THEN 'm' || (file_id - 20) || '.md' ELSE 'm' || (file_id - 20) END"
+_LFOLDER = "CASE WHEN file_id % 9 = 8 THEN CASE WHEN file_id % 2 = 0 THEN './' ELSE '../' END WHEN file_id % 5 IN (1, 2) THEN '../' WHEN file_id % 5 = 3 THEN '.././' ELSE './' END"
+_LIMPORT = f"""CASE WHEN file_id % 4 = 0 THEN 'import {{ a }} from "' || {_LFOLDER} || {_LTHERE} || '";' WHEN file_id % 4 = 1 THEN 'const b = require(' || chr(39) || {_LFOLDER} || {_LTHERE} || chr(39) || ');'
+    WHEN file_id % 4 = 2 AND {_LKIND} <> 4 THEN 'from ' || replace('src/' || {_LTHERE}, '/', '.') || ' import c' ELSE 'export * from "@/' || {_LTHERE} || '"' END"""
+#: The files that import each other, their chunks and questions: made from the plain ones, which keep their name with a stroke.
+_LINKED = {
+    "files": f"SELECT file_id, 'made/r' || (file_id % 20) AS repo_id, {_LPATH} AS path, file_ord, {_LIMPORT} || chr(10) || text AS text, tokens FROM files_ WHERE file_id IS NOT NULL",
+    "ch": f"SELECT * REPLACE ('made/r' || (file_id % 20) AS repo_id, {_LPATH} AS path) FROM ch_ WHERE file_id IS NOT NULL",
+    "qs0": "SELECT 'made/r' || (length(question) % 20) AS repo_id, question, max(expectation) AS expectation, max(quarantined) AS quarantined FROM qs0_ GROUP BY question",
+}
+_OF = {"specs": "import_specs", "edges": "import_edges", "skipped_by_ext": "skipped_by_ext", "coverage": "coverage", "neighbours": "khop_neighbours", "expansion": "expansion_tier", "order": "priority_order"}
+_SELECT |= {f"linked_{n}": _SELECT[of] for n, of in _OF.items()}
+
+
+def _linked() -> list[tuple[str, str]]:
+    out = []
+    for n, s in _CTE:
+        out += [(f"{n}_", s), (n, _LINKED[n])] if n in _LINKED else [(n, s)]
+    return out
+
+
+def _needed(text: str, ctes: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """The expressions that ``text`` reads, directly or not, in order."""
     import re
 
-    names = {n for n, _ in _CTE}
-    body = dict(_CTE)
+    names = {n for n, _ in ctes}
+    body = dict(ctes)
     seen: set[str] = set()
 
     def visit(t: str) -> None:
@@ -230,12 +283,12 @@ def _needed(text: str) -> list[tuple[str, str]]:
                 visit(body[w])
 
     visit(text)
-    return [(n, s) for n, s in _CTE if n in seen]
+    return [(n, s) for n, s in ctes if n in seen]
 
 
 def sql() -> dict[str, str]:
     out = {}
     for name, select in _SELECT.items():
-        with_ = ",\n".join(f"{n} AS MATERIALIZED ({s})" if n not in ("norm", "bisect") else f"{n} AS ({s})" for n, s in _needed(select))
+        with_ = ",\n".join(f"{n} AS MATERIALIZED ({s})" if n not in ("norm", "bisect") else f"{n} AS ({s})" for n, s in _needed(select, _linked() if name.startswith("linked_") else _CTE))
         out[name] = (f"WITH RECURSIVE {with_}\n{select}") if with_ else select
     return out

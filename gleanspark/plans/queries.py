@@ -9,11 +9,33 @@ from gleanspark.functions import text as X
 from gleanspark.operators import dense, ingest, measure
 from gleanspark.operators.retrieval import KEY, Retrieval, clean_anchors, clean_questions
 from gleanspark.operators.symbols import with_defines
+from gleanspark.plans import linked
 from gleanspark.sources.tables import read_table
 
 BUDGET = 8000
 
 
+_stored: dict[tuple, Retrieval] = {}
+
+
+def _state(s: SparkSession, d: str) -> tuple:
+    """What tells one state of the tables from another: the application, the folder, and each table's size and time of change."""
+    jvm, conf = s.sparkContext._jvm, s.sparkContext._jsc.hadoopConfiguration()
+    facts = []
+    for name in ("repo_files", "chunks", "cases"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        facts += [fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime()]
+    return (s.sparkContext.applicationId, d, *facts)
+
+
+def _stands(s: SparkSession, df: DataFrame) -> bool:
+    """Whether the written table behind ``df`` is still there."""
+    files = df.inputFiles()
+    path = s.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]) if files else None
+    return path is not None and path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def _files(s: SparkSession, d: str) -> DataFrame:
     return ingest.clean_files(read_table(s, d, "repo_files"))
 
@@ -22,12 +44,34 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
     return ingest.clean_chunks(read_table(s, d, "chunks"))
 
 
+def _questions(s: SparkSession, d: str) -> DataFrame:
+    return clean_questions(read_table(s, d, "cases"))
+
+
+def _kept(s: SparkSession, state: tuple, make) -> Retrieval:
+    r = _stored.get(state)
+    if r is None or not _stands(s, r.tokenized):
+        r = _stored[state] = make()
+    return r
+
+
 def _retrieval(s: SparkSession, d: str) -> Retrieval:
-    return Retrieval(_files(s, d), _chunks(s, d), clean_questions(read_table(s, d, "cases")))
+    """The stages over the tables of a folder. Terms, scores and order are written once an application, as an index, and read by
+    every query of it as long as the tables have not changed."""
+    return _kept(s, _state(s, d), lambda: Retrieval(_files(s, d), _chunks(s, d), _questions(s, d)))
+
+
+def _linked(s: SparkSession, d: str) -> Retrieval:
+    """The same stages over files that import each other, made from the tables by a rule, since no import of the tables leads to a file."""
+    return _kept(s, ("linked", *_state(s, d)), lambda: Retrieval(linked.files(_files(s, d)), linked.chunks(_chunks(s, d)), linked.questions(_questions(s, d))))
+
+
+def _anchors(s: SparkSession, d: str) -> DataFrame:
+    return clean_anchors(read_table(s, d, "anchors"))
 
 
 def _depths(s: SparkSession, d: str, r: Retrieval) -> DataFrame:
-    return measure.anchor_depth(r, clean_anchors(read_table(s, d, "anchors")))
+    return measure.anchor_depth(r, _anchors(s, d))
 
 
 def _minimum(s: SparkSession, d: str) -> tuple[Retrieval, DataFrame]:
@@ -35,6 +79,21 @@ def _minimum(s: SparkSession, d: str) -> tuple[Retrieval, DataFrame]:
     return r, measure.minimum_budget(r, _depths(s, d, r))
 
 
+def _dense(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Ranks by vectors. No table gives chunks and questions vectors, so they take those of ``embeddings`` in turn, by key and by length."""
+    v = read_table(s, d, "embeddings").where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding")
+    n = v.agg(F.max("vec_id") + 1).first()[0] or 1
+    of = lambda df, c: df.withColumn("vec_id", F.pmod(c.cast("bigint"), F.lit(n))).join(v, "vec_id").drop("vec_id")
+    chunks = _chunks(s, d)
+    asked = of(_questions(s, d).select("repo_id", "question"), F.length("question"))
+    return dense.dense_minimum(of(chunks.select("chunk_key"), F.col("chunk_key")), asked, chunks, _anchors(s, d))
+
+
+def _ratio(s: SparkSession, d: str) -> DataFrame:
+    r, m = _minimum(s, d)
+    return rounded(measure.grep_ratio(r, _depths(s, d, r), m, BUDGET), "ratio")
+
+
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
@@ -77,12 +136,26 @@ QUERIES = {
     "anchor_depth": lambda s, d: _depths(s, d, _retrieval(s, d)),
     "recall": lambda s, d: rounded(measure.recall(_depths(s, d, _retrieval(s, d))), "pct"),
     "budget_sweep": lambda s, d: (lambda r: rounded(measure.budget_sweep(r, _depths(s, d, r)), "mean_pct"))(_retrieval(s, d)),
-    "monotone_check": lambda s, d: measure.packing_violations(_retrieval(s, d), clean_anchors(read_table(s, d, "anchors"))),
+    "monotone_check": lambda s, d: measure.packing_violations(_retrieval(s, d), _anchors(s, d)),
+    "packing_found": lambda s, d: measure.found_by_packing(_retrieval(s, d), _anchors(s, d), measure.BUDGETS),
     "minimum_budget": lambda s, d: _minimum(s, d)[1],
     "markdown_effect": lambda s, d: rounded(measure.markdown_effect(_minimum(s, d)[1]), "change_pct"),
     "minimum_vs_grep": lambda s, d: rounded(measure.minimum_against_grep(*_minimum(s, d)), "ratio", "share"),
     "selectivity": lambda s, d: rounded(measure.selectivity(measure.minimum_against_grep(*_minimum(s, d))), "mean_share", "mean_ratio", "mean_tokens"),
     "dense_rank": lambda s, d: rounded(dense.dense_rank(read_table(s, d, "embeddings"), "vec_id % 20 = 0"), "dot").drop("dot"),
+    "dense_ranks": lambda s, d: _dense(s, d)[0],
+    "dense_minimum": lambda s, d: _dense(s, d)[1].withColumn("top_paths", F.array_join("top_paths", " ")),
+    "dense_against_selector": lambda s, d: measure.dense_against_selector(_minimum(s, d)[1], _dense(s, d)[1]),
+    "token_cost": lambda s, d: measure.token_cost(_retrieval(s, d), BUDGET),
+    "best_files": lambda s, d: measure.best_files(_retrieval(s, d)),
+    "grep_ratio": _ratio,
+    "linked_specs": lambda s, d: ingest.import_specs(linked.files(_files(s, d))),
+    "linked_edges": lambda s, d: ingest.import_edges(linked.files(_files(s, d))),
+    "linked_skipped_by_ext": lambda s, d: ingest.skipped_by_ext(linked.files(_files(s, d))),
+    "linked_coverage": lambda s, d: rounded(ingest.coverage(linked.files(_files(s, d))), "pct"),
+    "linked_neighbours": lambda s, d: _linked(s, d).hops,
+    "linked_expansion": lambda s, d: _score_cols(_linked(s, d).expansion, "hop", "score"),
+    "linked_order": lambda s, d: _linked(s, d).ordered.select(*KEY, "chunk_key", "tier", "hop", "reason", "pos", "cum"),
     "chunk_quality": lambda s, d: rounded(measure.chunk_quality(_chunks(s, d)), "pct_forced", "pct_with_symbol"),
     "symbols_by_ext": lambda s, d: rounded(measure.symbols_by_ext(_chunks(s, d)), "pct_with_symbol"),
     "repo_listing": lambda s, d: measure.repo_listing(read_table(s, d, "repos"), _files(s, d), _chunks(s, d)),

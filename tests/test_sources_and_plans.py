@@ -67,6 +67,9 @@ def test_analyze(spark):
     assert {r.path for r in out["kept"].collect()} == {"x.py"}
     assert out["minimum"].first().source == "user-marked" and out["minimum"].first().exact_tokens == 6
     assert out["report"].first().naive_tokens == 6 and out["grep"].first().best_term == "alpha"
+    assert (out["ratio"].first().at_minimum, out["ratio"].first().withheld) == (True, None) and "dense" not in out
+    free = A.analyze(A.parse({"slug": "a/b", "question": "where is alpha?", "budget": 100}), files, chunks, dense=spark.createDataFrame([("a/b", "where is alpha?", 3), ("a/b", "other", 4)], "repo_id string, question string, min_tokens long"))
+    assert free["ratio"].first().withheld == "nothing selected" and free["ratio"].first().bound_tokens == 0 and [r.min_tokens for r in free["dense"].collect()] == [3]
     big = files.withColumn("text", F.lit("x" * 150_000)).crossJoin(spark.range(20)).drop("id")
     with pytest.raises(A.RepoTooLarge) as e:
         A.gated(big)
