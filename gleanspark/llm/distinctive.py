@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from gleanspark.session import cut_lineage
 
 from . import kernel
-from .arrow import column, map_batches, raw
+from .arrow import column, map_batches, once, raw
 
 #: A term in more than one of so many records is common.
 COMMON = 1000
@@ -78,13 +78,10 @@ def counted(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 def texts_once(records: DataFrame, key: str, text: str, defines: str) -> DataFrame:
     """k, t: each record's text and items of ``defines`` as one text, each key once; null keys and items are left out.
 
-    Rows of one key must have the same text. Only keys that stand in several rows move, and are broadcast if Spark
-    finds them small; all other texts stay where they are read.
+    Rows of one key must have the same text.
     """
     whole = F.concat_ws("\n", F.col(text), F.array_join(F.coalesce(F.col(defines), F.array().cast("array<string>")), "\n"))
-    rows = records.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), whole.alias("t"))
-    several = cut_lineage(rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))
-    return rows.join(several, "k", "left_anti").unionByName(rows.join(several, "k", "left_semi").dropDuplicates(["k"]))
+    return once(records.select(F.col(key).alias("k"), whole.alias("t")), "k")
 
 
 def term_statistics(texts: DataFrame) -> DataFrame:

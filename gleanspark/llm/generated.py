@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grammar, kernel
-from .arrow import clean_slug, column, map_batches, raw
+from .arrow import clean_slug, column, map_batches, once, raw
 from .tokens import extension
 
 #: Words of the languages' own, kept apart from names in the grammar of shapes. Types are names: which one stands
@@ -159,8 +159,8 @@ def evidence(files: DataFrame) -> DataFrame:
 
     ddl = ", ".join([f"file_id {dtype}, slug string, path string", *(f"{c} double" for c in _NUMBERS), *(f"{c} boolean" for c in _FLAGS), "phrases array<bigint>, weights array<int>"])
     path = F.regexp_replace(F.trim(F.replace(F.col("path"), F.lit("\\"), F.lit("/"))), r"^(\./)+", "")
-    rows = files.where(F.col("file_id").isNotNull()).select("file_id", clean_slug(F.col("slug")).alias("slug"), path.alias("path"), "text")
-    return map_batches(rows, run, ddl).dropDuplicates(["file_id"])
+    rows = files.select("file_id", clean_slug(F.col("slug")).alias("slug"), path.alias("path"), "text")
+    return map_batches(once(rows, "file_id"), run, ddl)
 
 
 def name_keys(path: Column) -> Column:

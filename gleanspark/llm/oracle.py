@@ -41,4 +41,19 @@ SELECT p.kind AS record_kind, id_a, id_b FROM p JOIN n x ON x.kind = p.kind AND
 y AS (SELECT *, (log2(1 + m) + t * log2((1 + m) / m)) / (t + 1) AS score FROM x)
 SELECT chunk_key, term, tf, n_records, (SELECT n FROM nn) AS n_all, round(score, 6) AS score, row_number() OVER (PARTITION BY chunk_key ORDER BY score DESC, term) AS rank FROM y""",
     "p7_checks": "SELECT packing, (SELECT count(DISTINCT doc_id) FROM documents) AS n_documents, 0::BIGINT AS wrong_documents, 0::BIGINT AS overfull, true AS near_bound FROM (SELECT window_name AS packing FROM context_windows UNION ALL SELECT 'joint')",
+    "p2_groups": r"""
+WITH RECURSIVE r AS (SELECT 'chunk' AS kind, chunk_key AS id, any_value(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY chunk_key
+           UNION ALL SELECT 'file', file_id, any_value(text) FROM repo_files WHERE text IS NOT NULL GROUP BY file_id),
+w AS (SELECT kind, id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM r),
+s AS MATERIALIZED (SELECT DISTINCT kind, id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+c AS MATERIALIZED (SELECT kind, id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS h FROM s GROUP BY ALL),
+q AS MATERIALIZED (SELECT kind, h, n, min(id) AS rep, count(*) AS m FROM c GROUP BY ALL),
+e AS MATERIALIZED (SELECT s.kind, s.id, g FROM s SEMI JOIN (SELECT kind, rep AS id FROM q) USING (kind, id)),
+p AS (SELECT a.kind, a.id AS a, b.id AS b, count(*) AS k FROM e a JOIN e b ON a.kind = b.kind AND a.g = b.g AND a.id < b.id GROUP BY ALL),
+l AS MATERIALIZED (SELECT p.kind, a, b FROM p JOIN q x ON x.kind = p.kind AND x.rep = a JOIN q y ON y.kind = p.kind AND y.rep = b WHERE 10 * k >= 8 * (x.n + y.n - k)),
+both_ways AS MATERIALIZED (SELECT kind, a, b FROM l UNION SELECT kind, b, a FROM l),
+reach AS (SELECT DISTINCT kind, a AS id, a AS root FROM both_ways UNION SELECT reach.kind, b, root FROM reach JOIN both_ways ON reach.kind = both_ways.kind AND reach.id = both_ways.a),
+root AS (SELECT kind, id AS rep, min(root) AS root FROM reach GROUP BY ALL), d AS (SELECT kind, a AS rep, count(*) AS d FROM both_ways GROUP BY ALL)
+SELECT c.kind AS record_kind, c.id, coalesce(root, q.rep) AS group_id, (coalesce(d, 0) + (m > 1)::INT)::BIGINT AS n_links FROM c JOIN q USING (kind, h, n) LEFT JOIN d ON d.kind = c.kind AND d.rep = q.rep LEFT JOIN root ON root.kind = c.kind AND root.rep = q.rep
+WHERE m > 1 OR d IS NOT NULL""",
 }

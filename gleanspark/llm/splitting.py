@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .arrow import column, map_batches
+from .arrow import column, map_batches, once
 from .tokens import extension
 
 
@@ -83,14 +83,13 @@ def split_files(files: DataFrame, limits: DataFrame, with_text: bool = True) ->
 
     Lines are counted from 0, end_line is exclusive; cut_line is the first line that the piece before does
     not have. Files without text, without a limit for their extension, or within it have no pieces. Of a
-    limit given twice for one extension the smaller counts. Rows of one file_id are one file. ``limits`` is
-    the fixed table of a few extensions, so it is broadcast.
+    limit given twice for one extension the smaller counts. Rows of one file_id are one file, known by one of
+    them before anything is cut.
     """
     few = limits.where(F.col("max_lines") > 0).groupBy(F.lower(F.col("ext")).alias("ext")).agg(F.min("max_lines").cast("int").alias("max_lines"), F.min("overlap_lines").cast("int").alias("overlap_lines"))
     over = (
-        files.where(F.col("text").isNotNull() & F.col("file_id").isNotNull())
-        .select("file_id", extension(F.col("path")).alias("ext"), "text")
-        .join(F.broadcast(few), "ext")
+        once(files.where(F.col("text").isNotNull()).select("file_id", extension(F.col("path")).alias("ext"), "text"), "file_id")
+        .join(few, "ext")
         .where(F.length("text") - F.length(F.replace("text", F.lit("\n"))) >= F.col("max_lines"))
         .select("file_id", "max_lines", F.greatest(F.lit(0), F.coalesce("overlap_lines", F.lit(0))).alias("overlap_lines"), "text")
     )
@@ -111,10 +110,10 @@ def split_files(files: DataFrame, limits: DataFrame, with_text: bool = True) ->
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows) if rows else [()] * len(names), kinds)], names)
 
     ddl = f"file_id {dtype}, piece_no int, start_line int, end_line int, cut_line bigint, cut_kind string" + ", text string" * with_text
-    return map_batches(over, run, ddl).dropDuplicates(["file_id", "piece_no"])
+    return map_batches(over, run, ddl)
 
 
 def forced_cuts(files: DataFrame, limits: DataFrame) -> DataFrame:
     """file_id, cut_line of the cuts that no splitting can avoid: blocks that fit alone but not with the one before."""
     pieces = split_files(files, limits, with_text=False)
-    return pieces.where(F.col("cut_kind") == "forced").select(F.col("file_id").cast("bigint").alias("file_id"), "cut_line").distinct()
+    return pieces.where(F.col("cut_kind") == "forced").select(F.col("file_id").cast("bigint").alias("file_id"), "cut_line")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from . import bpe
 from .arrow import clean_slug, column, map_batches, raw
 
-#: The rank file; a parameter of every function that counts or encodes.
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The rank file: a parameter of every function that counts or encodes, by default what this setting of the environment names.
+RANKS = os.environ.get("GLEANSPARK_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 #: Spellings of one language, by the form used in totals.
 LANGUAGES = {
