@@ -60,21 +60,30 @@ def running_totals(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy(*KEY, "tier", "range").orderBy(F.desc("density"), F.desc("tie"), *PLACE)
     inside = rows.withColumns({"n1": F.row_number().over(w), "t1": F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))})
     met = inside.join(start, [*KEY, "tier", "range"]).withColumns({"pos": F.col("n0") + F.col("n1"), "cum": F.col("t0") + F.col("t1")})
-    return cut_lineage(met.drop("worth", "tie", "range", "n0", "t0", "n1", "t1"))
+    return met.drop("worth", "tie", "range", "n0", "t0", "n1", "t1")
+
+
+def tokenized(chunks: DataFrame) -> DataFrame:
+    """Chunks with their terms in place of their texts: what an index keeps of them."""
+    return chunks.withColumn("terms", X.terms(F.col("text"))).drop("text")
 
 
 @dataclass
 class Retrieval:
-    """The stages of answering ``questions`` from ``chunks``, each a DataFrame; what several stages read is written once when first used."""
+    """The stages of answering ``questions`` from ``chunks``, each a DataFrame; what several stages read is written once when first used.
+
+    ``index`` is what ``tokenized`` gave for these chunks before; then nothing is tokenized again.
+    """
 
     files: DataFrame
     chunks: DataFrame
     questions: DataFrame
+    index: DataFrame | None = None
 
     @cached_property
     def tokenized(self) -> DataFrame:
         """The chunks without their texts, with their terms: each tokenized once, however many questions follow."""
-        return cut_lineage(self.chunks.withColumn("terms", X.terms(F.col("text"))).drop("text"))
+        return self.index if self.index is not None else cut_lineage(tokenized(self.chunks))
 
     @cached_property
     def lengths(self) -> DataFrame:
@@ -138,7 +147,7 @@ class Retrieval:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return ingest.import_edges(self.files)
+        return cut_lineage(ingest.import_edges(self.files))
 
     @cached_property
     def hops(self) -> DataFrame:
@@ -173,7 +182,7 @@ class Retrieval:
         # Per token; a chunk without tokens is worth the most, as a division by zero would say. The weakest score is a factor of all of a key's
         # expansion, so it is left out of their order, where it could only part equals by its rounding.
         density = F.coalesce(F.try_divide(F.col("worth"), F.col("tokens")), F.lit(float("inf")))
-        return running_totals(cut_lineage(first.unionByName(then).withColumn("density", density)))
+        return cut_lineage(running_totals(cut_lineage(first.unionByName(then).withColumn("density", density))))
 
     def packed(self, budget: int | Column) -> DataFrame:
         """The order with ``kept``: the longest prefix whose tokens fit; it stops at the first miss."""
