@@ -56,4 +56,16 @@ reach AS (SELECT DISTINCT kind, a AS id, a AS root FROM both_ways UNION SELECT r
 root AS (SELECT kind, id AS rep, min(root) AS root FROM reach GROUP BY ALL), d AS (SELECT kind, a AS rep, count(*) AS d FROM both_ways GROUP BY ALL)
 SELECT c.kind AS record_kind, c.id, coalesce(root, q.rep) AS group_id, (coalesce(d, 0) + (m > 1)::INT)::BIGINT AS n_links FROM c JOIN q USING (kind, h, n) LEFT JOIN d ON d.kind = c.kind AND d.rep = q.rep LEFT JOIN root ON root.kind = c.kind AND root.rep = q.rep
 WHERE m > 1 OR d IS NOT NULL""",
+    # Pieces from left to right: each ends at the last border within the limit, at the next forced border, or hard at the limit.
+    "p3_pieces": "WITH RECURSIVE"
+    + _BLOCKS.removeprefix("\nWITH")
+    + r""", lap AS (SELECT lower(ext) AS ext, min(overlap_lines) AS o FROM split_limits WHERE max_lines > 0 GROUP BY ALL),
+facts AS MATERIALIZED (SELECT two.file_id, m, n, least(greatest(coalesce(any_value(o), 0), 0), m - 1) AS o, list_append(list(s ORDER BY s), n) AS edges, list_append(list(s ORDER BY s) FILTER (size0 <= m AND size <= m AND size0 + size > m), n) AS walls
+    FROM two JOIN f USING (file_id) JOIN lap USING (ext) GROUP BY two.file_id, m, n),
+cut AS (SELECT file_id, 0 AS k, 0::BIGINT AS a, 0::BIGINT AS fresh, 'start' AS kind FROM facts
+    UNION ALL SELECT file_id, k + 1, greatest(a, z - o), z, CASE WHEN best = z AND best > fresh THEN CASE WHEN z = wall THEN 'forced' ELSE 'natural' END ELSE 'hard' END
+    FROM (SELECT *, CASE WHEN best > fresh THEN best ELSE greatest(reach, fresh + 1) END AS z FROM (
+        SELECT *, list_max(list_filter(edges, lambda x: x <= least(reach, wall))) AS best FROM (SELECT c.*, n, o, edges, least(a + m, n) AS reach, list_min(list_filter(walls, lambda x: x > c.fresh)) AS wall FROM cut c JOIN facts USING (file_id))) WHERE least(reach, wall) < n)),
+pieces AS (SELECT file_id, k AS piece_no, a AS start_line, coalesce(lead(fresh) OVER (PARTITION BY file_id ORDER BY k), n) AS end_line, fresh AS cut_line, kind AS cut_kind FROM cut JOIN facts USING (file_id))
+SELECT pieces.*, array_to_string(l[start_line + 1 : end_line], chr(10)) AS text FROM pieces JOIN big USING (file_id)""",
 }
