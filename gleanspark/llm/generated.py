@@ -174,13 +174,16 @@ def name_keys(path: Column) -> Column:
 def shared_rules(measured: DataFrame) -> DataFrame:
     """file_id, shared: the share of a file under rules that a file of like name in another repository has too.
 
-    A rule and a word of the file's name are one key; the least and the greatest slug of a key say
+    A rule and a word of the file's name are one key; the least and the greatest repository of a key (as hashes of their slugs) say
     whether repositories share it. Both are kept per task before the shuffle, so a rule that stands in very
-    many files is a row a task.
+    many files is a row a task. Shared keys are a small part of all; they are written first, so Spark knows their size.
     """
+    from gleanspark.session import cut_lineage
+
     parts = F.arrays_zip(F.col("phrases").alias("p"), F.col("weights").alias("w"))
-    keyed = measured.where(F.col("slug").isNotNull()).select("file_id", "slug", "n", F.explode(name_keys(F.col("path"))).alias("word"), parts.alias("parts")).select("file_id", "slug", "n", "word", F.inline("parts")).select("file_id", "slug", "n", "word", F.xxhash64("p", "word").alias("key"), "w")
-    common = keyed.groupBy("key").agg(F.min("slug").alias("a"), F.max("slug").alias("b")).where("a <> b").select("key")
+    keyed = measured.where(F.col("slug").isNotNull()).select("file_id", F.xxhash64("slug").alias("repo"), "n", F.explode(name_keys(F.col("path"))).alias("word"), parts.alias("parts"))
+    keyed = keyed.select("file_id", "repo", "n", "word", F.inline("parts")).select("file_id", "repo", "n", "word", F.xxhash64("p", "word").alias("key"), "w")
+    common = cut_lineage(keyed.groupBy("key").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).where("a <> b").select("key"))
     return keyed.join(common, "key").groupBy("file_id", "word", "n").agg(F.sum("w").alias("w")).groupBy("file_id").agg(F.max(F.col("w") / F.col("n")).alias("shared"))
 
 
