@@ -156,7 +156,8 @@ def _suspects(documents: DataFrame) -> DataFrame:
     known = documents.where(F.col("text").isNotNull())
     seen = cut_lineage(map_batches(known.select("doc_id", F.xxhash64("text").alias("h"), "text"), run, f"doc_id {dtype}, h bigint, k bigint"))
     many = seen.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("k")
-    ids = seen.join(many, "k", "left_semi").select("doc_id").distinct()
+    # Written first, so Spark knows its size and reads the texts without moving the others where it is small.
+    ids = cut_lineage(seen.join(many, "k", "left_semi").select("doc_id").distinct())
     return with_looks(documents.join(ids, "doc_id", "left_semi"))
 
 
