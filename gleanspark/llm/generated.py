@@ -196,18 +196,19 @@ def by_grammar() -> dict[str, Column]:
     """What grammars alone say of a file, by the measures of ``evidence`` and ``shared_rules``.
 
     - few_rules: a few rules over shapes (names, types and numbers taken alike) write three quarters of it and more;
-    - blob: near-incompressible: hardly a rule over the tokens themselves, and a quarter of it in literals of 40 characters and more;
+    - blob: near-incompressible: hardly a rule over the tokens themselves, and a tenth of it in literals of 40 characters and more;
     - shared: half of it is under rules that a file of like name in another repository has too.
     """
     few = (F.col("shaped") <= FEW * F.pow(F.greatest(F.col("n"), F.lit(1.0)) / SIZE, F.lit(POWER))) & (F.col("covered") > 0.75)
-    return {"few_rules": few, "blob": (F.col("long") > 0.25) & (F.col("exact") > 0.9), "shared": F.col("shared") >= 0.5}
+    return {"few_rules": few, "blob": (F.col("long") > 0.1) & (F.col("exact") > 0.9), "shared": F.col("shared") >= 0.5}
 
 
 def kinds(files: DataFrame) -> DataFrame:
     """file_id, kind and the measures it rests on, of every file; kind is null for hand-written source.
 
     - generated or data: a few rules over shapes write it (data if it is numbers without the language's words), or a comment or
-      the path says that a tool wrote it; data too if it is near-incompressible literals;
+      the path says that a tool wrote it; data too if it is near-incompressible literals, or numbers without the language's words
+      (their share with an allowance for few symbols);
     - vendored: most of it is under rules that a file of like name in another repository has too, or it stands in a folder for other
       projects' code, its name carries a release, a comment says where it was taken from or names another project as owner;
     - minified: hardly any blanks, and names of a letter or two (the mean length with an allowance for few names).
@@ -223,10 +224,11 @@ def kinds(files: DataFrame) -> DataFrame:
     signs = {k: code & v for k, v in by_grammar().items()}
     minified = code & (F.col("name_size") + 5 / F.sqrt(1 + F.col("names") * F.col("n")) < 3.6) & (F.col("blank") < 0.09)
     said = code & (path.rlike(VERSIONED) | F.col("taken") | F.col("foreign"))
+    table = code & (F.col("numbers") > 0.1 + 1 / F.sqrt(F.greatest(F.col("n"), F.lit(1.0)))) & (F.col("keywords") < 0.02)
     numbers = (F.col("numbers") > 0.1) & (F.col("keywords") < 0.02) & ~F.col("mark")
     kind = (
         F.when(signs["shared"] | path.rlike(VENDOR_DIR) | said, "vendored").when(minified, "minified")
-        .when(signs["blob"] | signs["few_rules"] & numbers, "data").when(signs["few_rules"] | code & (F.col("mark") | path.rlike(GENERATED_PATH)), "generated")
+        .when(signs["blob"] | (signs["few_rules"] | table) & numbers, "data").when(signs["few_rules"] | code & (F.col("mark") | path.rlike(GENERATED_PATH)), "generated")
     )
     grammar_says = F.when(signs["few_rules"], "few_rules").when(signs["blob"], "blob").when(signs["shared"], "shared")
     return m.select("file_id", "slug", "path", kind.alias("kind"), grammar_says.alias("grammar"), F.col("n").cast("bigint").alias("n_tokens"), "exact", "shaped", "covered", "shared")
