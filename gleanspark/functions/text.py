@@ -5,6 +5,8 @@ All are built-in Spark SQL expressions, so they stay inside generated code and n
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,8 +42,13 @@ WHITE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\u
 
 
 def jvm(pattern: str) -> str:
-    r"""A fixed pattern for the JVM, where \s lacks the no-break space and others, and \b counts letters of all scripts as parts of words (up to Java 18)."""
+    r"""A fixed pattern for the JVM, where \s lacks the no-break space and others, and \b counts letters of all scripts as parts of words (up to Java 18).
+
+    A word at the begin of a pattern is looked for first and its border after it, for then the JVM skips to it instead of testing each place.
+    """
     word = "[A-Za-z0-9_]"
+    if "|" not in pattern:
+        pattern = re.sub(r"^\\b([a-z]{4,})", rf"\1(?<!{word}\1)", pattern)
     return pattern.replace(r"\s", f"[{WHITE}]").replace(r"\b", f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))")
 
 

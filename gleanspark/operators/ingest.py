@@ -136,7 +136,8 @@ def line_grep(files: DataFrame, needle: str) -> DataFrame:
 
 def import_specs(files: DataFrame) -> DataFrame:
     """repo_id, path, spec."""
-    return files.select("repo_id", "path", F.explode(X.import_specifiers(F.col("text"))).alias("spec"))
+    # Outer, since Spark puts filters that look for the specifiers again, twice, before a plain explode.
+    return files.select("repo_id", "path", F.explode_outer(X.import_specifiers(F.col("text"))).alias("spec")).where("spec IS NOT NULL")
 
 
 def import_edges(files: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql.window import Window
 from gleanspark.functions import text as X
 from gleanspark.session import cut_lineage
 
-from . import ingest
+from . import blocks, ingest
+from .words import with_terms
 
 #: Fixed values of the ranking.
 K1, B = 1.5, 0.75
@@ -65,7 +66,7 @@ def running_totals(rows: DataFrame) -> DataFrame:
 
 def tokenized(chunks: DataFrame) -> DataFrame:
     """Chunks with their terms in place of their texts: what an index keeps of them."""
-    return chunks.withColumn("terms", X.terms(F.col("text"))).drop("text")
+    return with_terms(chunks).drop("text")
 
 
 @dataclass
@@ -79,6 +80,27 @@ class Retrieval:
     chunks: DataFrame
     questions: DataFrame
     index: DataFrame | None = None
+    #: Whether everything is joined, as it is for repositories too large to be held by a task; else those are ``rest``, and the others are met in blocks.
+    joined: bool = False
+
+    @cached_property
+    def rest(self) -> Retrieval | None:
+        """The same over the repositories that no task can hold whole, if there are any."""
+        many = blocks.large(self.lengths)
+        if many.isEmpty():
+            return None
+        only = lambda df: df.join(many, "repo_id", "left_semi")
+        return Retrieval(only(self.files), only(self.chunks), only(self.questions), only(self.tokenized), joined=True)
+
+    @cached_property
+    def blocks(self) -> blocks.Blocks:
+        few = (lambda df: df.join(self.rest.lengths.select("repo_id").distinct(), "repo_id", "left_anti")) if self.rest else (lambda df: df)
+        weights = [SIBLING_WEIGHT, *[SIBLING_WEIGHT * HOP_DECAY**h for h in (1, 2)]]
+        return blocks.Blocks(few(self.tokenized), few(self.question_terms), {"k1": K1, "b": B, "boost": DEFINITION_BOOST, "floor": NOISE_FLOOR, "weights": weights})
+
+    @cached_property
+    def best(self) -> DataFrame:
+        return self.blocks.best(SEEDS)
 
     @cached_property
     def tokenized(self) -> DataFrame:
@@ -142,6 +164,9 @@ class Retrieval:
     @cached_property
     def seeds(self) -> DataFrame:
         """Files of the best direct chunks."""
+        if not self.joined:
+            few = self.best.select(*KEY, F.explode("paths").alias("path"))
+            return few.unionByName(self.rest.seeds) if self.rest else few
         place = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("score"), *PLACE))
         return self.direct.withColumn("place", place).where(F.col("place") <= SEEDS).select(*KEY, "path").distinct()
 
@@ -184,6 +209,20 @@ class Retrieval:
         density = F.coalesce(F.try_divide(F.col("worth"), F.col("tokens")), F.lit(float("inf")))
         return cut_lineage(running_totals(cut_lineage(first.unionByName(then).withColumn("density", density))))
 
+    @cached_property
+    def expanded(self) -> DataFrame:
+        """Key, chunk_key, hop, score of ``expansion``."""
+        cols = [*KEY, "chunk_key", "hop", "score"]
+        few = self.blocks.placed(self.hops, self.best, direct=False).select(*cols)
+        return few.unionByName(self.rest.expansion.select(*cols)) if self.rest else few
+
+    @cached_property
+    def places(self) -> DataFrame:
+        """Key, chunk_key, tier, hop, reason, pos, cum of ``ordered``, which is not written for it."""
+        cols = [*KEY, "chunk_key", "tier", "hop", "reason", "pos", "cum"]
+        few = self.blocks.placed(self.hops, self.best, direct=True).select(*cols)
+        return few.unionByName(self.rest.ordered.select(*cols)) if self.rest else few
+
     def packed(self, budget: int | Column) -> DataFrame:
         """The order with ``kept``: the longest prefix whose tokens fit; it stops at the first miss."""
         return self.ordered.withColumn("kept", F.col("cum") <= budget)
