@@ -1,7 +1,10 @@
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_blocks import tables  # noqa: F401
 
-from gleanspark.operators import blocks, measure
+from gleanspark.functions import text as X
+from gleanspark.operators import blocks, ingest, measure, words
 from gleanspark.operators import retrieval as R
 from gleanspark.plans import queries
 
@@ -32,3 +35,18 @@ def test_the_order_is_not_written_to_compare_with_vectors(spark, monkeypatch):
     for part in ("ordered", "scored"):
         monkeypatch.setattr(R.Retrieval, part, property(lambda self: 1 / 0))
     assert queries.QUERIES["dense_against_selector"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_tokens_by_bytes_are_those_of_the_expression(spark, monkeypatch):
+    monkeypatch.setattr(words, "PART", 40)
+    texts = ["", None, "7", "abc", "def12345 x", "1234 é1z😀 _$a\t\r\n", "a" * 90 + "1" * 91, "日本 3.14 fooBar_1"]
+    df = words.with_tokens(spark.createDataFrame([(t, -1) for t in texts], "text string, tokens long")).withColumn("want", X.token_proxy(F.col("text")))
+    assert all(r.tokens == r.want for r in df.collect())
+    assert [words._tokens(pa.array([t], pa.string())).to_pylist() for t in texts] == [[r.want] for r in df.collect()] and words._tokens(pa.array([], pa.string())).to_pylist() == []
+    part = pa.array([*texts, *texts])
+    assert words._tokens(part.slice(3, 9)).to_pylist() == words._tokens(part).to_pylist()[3:12]
+
+
+def test_imports_found_before_give_the_same_edges(spark, tables):  # noqa: F811
+    edges = lambda files: sorted(map(tuple, ingest.import_edges(files).collect()))
+    assert edges(ingest.with_specs(tables[0])) == edges(tables[0]) != []
